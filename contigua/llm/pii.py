@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -99,8 +101,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def added_candidates(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of spans of the added kinds that the classifier judges."""
+def added_candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of spans of the added kinds that the classifier judges; none overlaps a base span."""
     out = []
     if "[at]" in text or "(at)" in text:
         out += [(m.start(), 4, m.end()) for m in _SPELLED.finditer(text)]
@@ -110,7 +112,11 @@ def added_candidates(text: str) -> list[tuple[int, int, int]]:
         out += [(m.start(), 7, m.end()) for m in _IBAN.finditer(text)]
     if any(t + " " in text or t + ". " in text for t in TITLES):
         out += [(m.start(), 8, m.end()) for m in _PERSON.finditer(text)]
-    return out
+    if not out or not base:
+        return out
+    base = sorted(base)
+    reach = list(accumulate((e for _, _, e in base), max))
+    return [x for x in out if not (i := bisect_left(base, (x[2],))) or reach[i - 1] <= x[0]]
 
 
 def votes(text: str, start: int, kind: int, end: int) -> tuple[int, int, int]:
@@ -216,7 +222,8 @@ def pattern_counts(docs: DataFrame, text_col: str = "text") -> dict[tuple, int]:
         for b in batches:
             for text in b.column(0).to_pylist():
                 if text:
-                    seen.update(pattern(text, *s) for s in base_spans(text) + added_candidates(text))
+                    base = base_spans(text)
+                    seen.update(pattern(text, *s) for s in base + added_candidates(text, base))
         keys = list(seen)
         yield pa.RecordBatch.from_pydict({c: pa.array([k[i] for k in keys], pa.int32()) for i, c in enumerate("kabcl")} | {"n": pa.array([seen[k] for k in keys], pa.int64())})
 
@@ -230,8 +237,8 @@ def tell(spans: list[tuple[int, int, int]]) -> str:
 
 def judged(text: str, scores: dict[tuple, float], threshold: float) -> tuple[list, list]:
     """Base spans and the added spans that the classifier takes."""
-    more = [s for s in added_candidates(text) if scores.get(pattern(text, *s), 0.0) >= threshold]
-    return base_spans(text), more
+    base = base_spans(text)
+    return base, [s for s in added_candidates(text, base) if scores.get(pattern(text, *s), 0.0) >= threshold]
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, full: bool = True) -> DataFrame:
