@@ -212,11 +212,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_members = held.where("n > 2").select("rep", "bucket")
     while True:
         # Buckets with several classes, and their members outside the largest class that have not been leaders.
-        marked = open_members.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "bucket", F.coalesce("label", "rep").alias("label"))
+        marked = cut(open_members.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "bucket", F.coalesce("label", "rep").alias("label")), "open")
         by_class = marked.groupBy("bucket", "label").agg(F.count("*").alias("n"))
         largest = by_class.groupBy("bucket").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("top"), F.count("*").alias("classes")).where("classes > 1").select(F.col("bucket").alias("t_bucket"), "top")
-        marked = cut(marked.join(largest, F.col("bucket") == F.col("t_bucket")).select("rep", "bucket", "label", "top"), "open")
-        left = marked.where("label <> top")
+        left = marked.join(largest, (F.col("bucket") == F.col("t_bucket")) & (F.col("label") != F.col("top")))
         if leaders is not None:
             left = left.join(leaders.withColumnsRenamed({"rep": "l_rep", "bucket": "l_bucket"}), (F.col("rep") == F.col("l_rep")) & (F.col("bucket") == F.col("l_bucket")), "left_anti")
         # The first few of each bucket: salted ranks, so that no task ranks a whole bucket.
@@ -241,7 +240,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             joined = components(between).withColumnsRenamed({"node": "old", "label": "new"})
             grown = labels.select("node", "label").unionByName(more.select(F.col("a").alias("node")).union(more.select(F.col("b"))).distinct().join(labels.select(F.col("node").alias("has")), F.col("node") == F.col("has"), "left_anti").select("node", F.col("node").alias("label")))
             labels = cut(grown.join(joined, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
-        open_members, most = marked.select("rep", "bucket"), most * 4
+        most *= 4
     classed = owner.join(labels, F.col("rep") == F.col("node"), "left").groupBy("doc_id").agg(F.min("rep").alias("rep_id"), F.min(F.coalesce("label", "rep")).alias("class_id"))
     out = rows.select("doc_id").join(classed.withColumnRenamed("doc_id", "c_id"), F.col("doc_id") == F.col("c_id"), "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("rep_id", "doc_id").alias("rep_id"))

@@ -122,7 +122,9 @@ def candidates(index: DataFrame, queries: dict[int, list[frozenset[str]]]) -> Da
     """(doc_id, rules): bits of the rules that have a clause whose postings all hold the document."""
     spark = index.sparkSession
     wanted = [(t, rule, c, 1 << i, (1 << len(clause)) - 1) for rule, clauses in queries.items() for c, clause in enumerate(clauses) for i, t in enumerate(sorted(clause))]
-    conditions = spark.createDataFrame(wanted, "trigram string, rule int, clause int, bit long, whole long")  # bounded by the rules
+    names = ("trigram", "rule", "clause", "bit", "whole")
+    given = [F.struct(*[(F.lit(v) if i < 3 else F.lit(v).cast("long")).alias(n) for i, (n, v) in enumerate(zip(names, w, strict=True))]) for w in wanted]
+    conditions = spark.range(1).select(F.inline(F.array(*given)))  # bounded by the rules
     met = index.join(F.broadcast(conditions), "trigram").groupBy("doc_id", "rule", "clause", "whole").agg(F.bit_or("bit").alias("bits")).where("bits = whole")
     return met.groupBy("doc_id").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"))
 
