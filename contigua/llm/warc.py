@@ -11,7 +11,6 @@ MB each, so every task reads and writes whole archives and a lost one is made ag
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import os
 import uuid
@@ -64,7 +63,7 @@ def arc_records(data: bytes):
 
     ``data`` is plain or gzip, in one member or many; offsets count unpacked bytes.
     """
-    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+    data = unzipped(data)
     at, version = 0, None
     while at < len(data):
         if data[at : at + 1] in b"\r\n":
@@ -117,6 +116,21 @@ def zipped(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
+def unzipped(data: bytes) -> bytes:
+    """A plain or gzip file, in one member or many, in time linear in its size."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out, at, view = [], 0, memoryview(data)
+    while at < len(data):
+        z = zlib.decompressobj(31)
+        while not z.eof:
+            if at >= len(data):
+                raise EOFError("the file ends inside a gzip member")
+            out.append(z.decompress(view[at : at + 16_384]))
+            at = min(len(data), at + 16_384) - len(z.unused_data)
+    return b"".join(out)
+
+
 def record_id(archive: str, offset: int, payload_digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive}#{offset}#{payload_digest}')}>"
 
@@ -140,7 +154,7 @@ def convert(archive: str, data: bytes, original: dict[int, tuple[str, int, int |
 
 def warc_records(data: bytes):
     """Yields (headers, block) of each record of a plain or gzip WARC file."""
-    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+    data = unzipped(data)
     at = 0
     while at < len(data):
         stop = data.find(b"\r\n\r\n", at)
