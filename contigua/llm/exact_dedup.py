@@ -48,7 +48,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .groupBy("g_size", "g_run").agg(F.count("*").alias("n")).where("n > 1")
         .select("g_size", "g_run", F.monotonically_increasing_id().alias("gid"))
     )
-    joined = rows.withColumn("run", head).join(cut(open_groups, "radix-open"), (F.col("size") == F.col("g_size")) & (F.col("run") == F.col("g_run")), "left")
+    joined = rows.withColumn("run", head).join(cut(open_groups, "radix-open").hint("merge"), (F.col("size") == F.col("g_size")) & (F.col("run") == F.col("g_run")), "left")
     state = cut(
         joined.select("doc_id", "points", "size", "sha", "gid", F.monotonically_increasing_id().alias("row"), F.when(F.col("gid").isNotNull(), F.expr(f"substring(rest, {prefix + 1}, size)")).alias("rest")),
         "radix-0",
@@ -67,7 +67,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         is_open = (F.col("n") > 1) & (F.col("size") > end)
         state = cut(
             step.withColumn("tail", F.expr(f"substring(rest, {width + 1}, size)")).drop("rest")
-            .join(groups, (F.col("gid") == F.col("g_gid")) & (F.col("run") == F.col("g_run")))
+            .join(groups.hint("merge"), (F.col("gid") == F.col("g_gid")) & (F.col("run") == F.col("g_run")))
             .select("doc_id", "points", "size", "sha", "row", "n", "best", F.when(is_open, F.col("next_gid")).alias("gid"), F.when(is_open, F.col("tail")).alias("rest")),
             f"radix-{end}",
         )
