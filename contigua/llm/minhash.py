@@ -31,8 +31,12 @@ from contigua.session import cut, ship
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
+#: Coordinates beyond those of the bands, which make the estimate of a pair's similarity sharper.
+EXTRA = 192
 _U = np.uint64
 _SHINGLE_BASE = 0x9E3779B97F4A7C15 | 1
+#: Members of a bucket that are compared together; standard deviations below the similarity at which a pair is hopeless.
+PART, MARGIN = 1000, 4
 #: Pairs verified in one group; a centre with more has several groups.
 GROUP = 500
 
@@ -123,7 +127,7 @@ def band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def signatures(rows: DataFrame, bands: int, rows_of_band: int) -> DataFrame:
     """(doc_id, copy, bands, sig): digest of the word sequence, band hashes, the coordinates' low bytes. Without words: none."""
-    k = bands * rows_of_band
+    k = bands * rows_of_band + EXTRA
 
     def run(batches):
         for b in batches:
@@ -131,7 +135,7 @@ def signatures(rows: DataFrame, bands: int, rows_of_band: int) -> DataFrame:
             sets = shingles(texts)
             some = [i for i, s in enumerate(sets) if len(s)]
             sig = dart_signatures([sets[i] for i in some], k)
-            hashes = band_hashes(sig, bands, rows_of_band)
+            hashes = band_hashes(sig[:, : bands * rows_of_band], bands, rows_of_band)
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0).take(pa.array(some, pa.int32())), pa.array([hashlib.sha256(b" ".join(texts[i].encode().split())).digest() for i in some], pa.binary()),
@@ -144,10 +148,10 @@ def signatures(rows: DataFrame, bands: int, rows_of_band: int) -> DataFrame:
 
 
 def likely(pairs: DataFrame, reps: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Those pairs whose signatures do not rule the similarity out by five standard deviations."""
+    """Those pairs whose signatures do not rule the similarity out."""
     sig = reps.select("rep", "sig")
     both = pairs.join(sig.withColumnsRenamed({"rep": "r1", "sig": "s1"}), F.col("a") == F.col("r1")).join(sig.withColumnsRenamed({"rep": "r2", "sig": "s2"}), F.col("b") == F.col("r2")).select("a", "b", "s1", "s2")
-    least = similarity - 5 * math.sqrt(similarity * (1 - similarity) / k)
+    least = similarity - MARGIN * math.sqrt(similarity * (1 - similarity) / k)
 
     def run(batches):
         for b in batches:
@@ -157,6 +161,46 @@ def likely(pairs: DataFrame, reps: DataFrame, k: int, similarity: float) -> Data
     return both.mapInArrow(run, "a long, b long")
 
 
+def compared(members: DataFrame, leaders: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Likely pairs (a, b) of a bucket's members and its leaders b of other classes.
+
+    ``members`` has bucket, n (of the bucket), rep, label, sig; ``leaders`` the same for a few
+    members. A bucket is dealt out in parts of some thousand members, each with all leaders;
+    signatures are compared in blocks and only likely pairs become rows.
+    """
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    columns = ["bucket", "part", "kind", "rep", "label", "sig"]
+    first = leaders.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("kind", F.lit(0)).select(columns)
+    rest = members.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("kind", F.lit(1)).select(columns)
+    spark = members.sparkSession
+    dealt = first.unionByName(rest).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket", "part").sortWithinPartitions("bucket", "part", "kind")
+    least = similarity - MARGIN * math.sqrt(similarity * (1 - similarity) / k)
+
+    def run(batches):
+        at, ids, classes, sigs = None, [], [], []
+        for b in batches:
+            bucket, part, kind, rep, label = (b.column(i).to_numpy() for i in range(5))
+            sig = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(-1, k)
+            edges = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])])
+            out = [[], []]
+            for lo, hi in zip(edges, np.r_[edges[1:], len(bucket)], strict=True):
+                key = (bucket[lo], part[lo])
+                if key != at:
+                    at, ids, classes, sigs = key, [], [], []
+                if kind[lo] == 0:
+                    ids += rep[lo:hi].tolist()
+                    classes += label[lo:hi].tolist()
+                    sigs += list(sig[lo:hi])
+                    continue
+                for i, c, s in zip(ids, classes, sigs, strict=True):
+                    good = lo + np.flatnonzero(((sig[lo:hi] == s).mean(1) >= least) & (label[lo:hi] != c))
+                    out[0] += rep[good].tolist()
+                    out[1] += [i] * len(good)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Those pairs (a, b) whose shingle sets have the similarity. Grouped by b, in groups of bounded size."""
     n = pairs.groupBy("b").agg(F.count("*").alias("n")).where(f"n > {GROUP}").select(F.col("b").alias("big"), F.ceil(F.col("n") / GROUP).cast("int").alias("parts"))
@@ -189,11 +233,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in it. rep_id is the smallest id with the same words. Texts of one to four words have
     one shingle, texts without words (null too) none: these are classes of their own. Rows
     that repeat an id share a class; rows without an id are not compared and have no class.
-    A pair of similarity 0.8 shares no bucket with probability 7e-5, one of 0.85 with 5e-7.
+    A pair of similarity 0.8 shares no bucket or is held hopeless with probability 1e-4, one of
+    0.85 with less than 1e-6.
     """
     spark = docs.sparkSession
     ship(spark)
-    k = bands * rows_of_band
+    k = bands * rows_of_band + EXTRA
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = cut(signatures(rows.where("doc_id is not null"), bands, rows_of_band), "signatures")
     copies = signed.groupBy("copy").agg(F.min("doc_id").alias("rep"))
@@ -208,31 +253,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = cut(rows.join(in_bucket, F.col("doc_id") == F.col("w_id"), "left_semi").select(F.col("doc_id").alias("t_id"), "text").join(owner.where("doc_id = rep").select(F.col("rep").alias("o")).distinct(), F.col("t_id") == F.col("o"), "left_semi").dropDuplicates(["t_id"]), "texts")
     links = cut(verified(pairs, texts, similarity), "links")
     labels = components(links)
-    tested, leaders, most = None, None, 4
-    open_members = held.where("n > 2").select("rep", "bucket")
+    tested, leaders, most = pairs.withColumnsRenamed({"a": "p_a", "b": "p_b"}), None, 4
+    open_members = cut(held.where("n > 2").join(reps.select(F.col("rep").alias("s_rep"), "sig"), F.col("rep") == F.col("s_rep")).select("rep", "bucket", "n", "sig"), "open")
     while True:
         # Buckets with several classes, and their members outside the largest class that have not been leaders.
-        marked = cut(open_members.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "bucket", F.coalesce("label", "rep").alias("label")), "open")
-        by_class = marked.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        largest = by_class.groupBy("bucket").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("top"), F.count("*").alias("classes")).where("classes > 1").select(F.col("bucket").alias("t_bucket"), "top")
+        marked = cut(open_members.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "bucket", "n", "sig", F.coalesce("label", "rep").alias("label")), "marked")
+        by_class = marked.groupBy("bucket", "label").agg(F.count("*").alias("of"))
+        largest = by_class.groupBy("bucket").agg(F.max_by("label", F.struct("of", -F.col("label"))).alias("top"), F.count("*").alias("classes")).where("classes > 1").select(F.col("bucket").alias("t_bucket"), "top")
         left = marked.join(largest, (F.col("bucket") == F.col("t_bucket")) & (F.col("label") != F.col("top")))
         if leaders is not None:
             left = left.join(leaders.withColumnsRenamed({"rep": "l_rep", "bucket": "l_bucket"}), (F.col("rep") == F.col("l_rep")) & (F.col("bucket") == F.col("l_bucket")), "left_anti")
         # The first few of each bucket: salted ranks, so that no task ranks a whole bucket.
         salted = left.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(most)), F.lit(64)))
-        some = salted.withColumn("n", F.row_number().over(Window.partitionBy("bucket", "salt").orderBy("rep"))).where(f"n <= {most}")
-        some = cut(some.withColumn("n", F.row_number().over(Window.partitionBy("bucket").orderBy("n", "rep"))).where(f"n <= {most}").select("rep", "bucket", "label"), "leaders")
+        some = salted.withColumn("place", F.row_number().over(Window.partitionBy("bucket", "salt").orderBy("rep"))).where(f"place <= {most}")
+        some = some.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("place", "rep"))).where(f"place <= {most}")
+        some = cut(some.select("rep", "bucket", "n", "sig", "label"), "leaders")
         if not some.head(1):
             break
-        chosen = some.select(F.col("rep").alias("b"), F.col("bucket").alias("s_bucket"), F.col("label").alias("b_label"))
-        found = marked.join(chosen, (F.col("bucket") == F.col("s_bucket")) & (F.col("label") != F.col("b_label"))).select(F.col("rep").alias("a"), "b").distinct()
-        found = found.join(pairs.withColumnsRenamed({"a": "p_a", "b": "p_b"}), (F.col("a") == F.col("p_a")) & (F.col("b") == F.col("p_b")), "left_anti")
-        if tested is not None:
-            found = found.join(tested, (F.col("a") == F.col("p_a")) & (F.col("b") == F.col("p_b")), "left_anti")
-        fresh = cut(found, "fresh")
-        more = cut(verified(cut(likely(fresh, reps, k, similarity), "likely"), texts, similarity), "links")
-        now = fresh.select(F.col("a").alias("p_a"), F.col("b").alias("p_b"))
-        tested = now if tested is None else tested.unionByName(now)
+        found = cut(compared(marked, some, k, similarity), "likely")
+        fresh = cut(found.join(tested, (F.col("a") == F.col("p_a")) & (F.col("b") == F.col("p_b")), "left_anti"), "fresh")
+        more = cut(verified(fresh, texts, similarity), "links")
+        tested = tested.unionByName(fresh.select(F.col("a").alias("p_a"), F.col("b").alias("p_b")))
         leaders = some.select("rep", "bucket") if leaders is None else leaders.unionByName(some.select("rep", "bucket"))
         if more.head(1):
             of = lambda c: labels.select(F.col("node").alias(f"n_{c}"), F.col("label").alias(f"l_{c}"))
