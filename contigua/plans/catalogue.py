@@ -423,7 +423,7 @@ def moving_average(s, d):
 
 @query(COVER + "select quantile_cont(depth, 0.5) as median from b where bin % 7 <> 0")
 def clean_median(s, d):
-    return _cover(s, d).where("bin % 7 <> 0").groupBy("depth").agg(F.count("*").alias("n")).agg(F.percentile("depth", 0.5, "n").alias("median"))
+    return _cover(s, d).where("bin % 7 <> 0").groupBy("depth").agg(F.count("*").alias("n")).agg(F.percentile("depth", 0.5, F.col("n")).alias("median"))
 
 
 CAT = COVER + ", k as (select chr, bin, depth, case when depth <= 0.3 then '0' when depth <= 1.8 then '1' when depth < 7.2 then '2' else 'H' end as category from b) "

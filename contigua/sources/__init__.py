@@ -1 +1,111 @@
+"""Readers and writers of the file formats; coordinates become 0-based and half-open on the way in."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def _rows(spark: SparkSession, path: str, names: list[str], least: int) -> DataFrame:
+    """Tab-separated rows without comment and blank lines; fields that a line lacks are null."""
+    lines = spark.read.text(path).where("trim(value) <> '' and not startswith(value, '#')")
+    f = F.split("value", "\t", -1)
+    return lines.where(F.size(f) >= least).select(*[F.get(f, F.lit(i)).alias(n) for i, n in enumerate(names)])
+
+
+def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """(seq_id, seq): upper-case sequences; of repeated ids one stays, records without bases drop out."""
+    records = spark.read.option("lineSep", "\n>").text(path)
+    body = F.regexp_replace(F.regexp_replace("value", r"^>", ""), "\r", "")
+    head = F.substring_index(body, "\n", 1)
+    seq = F.upper(F.regexp_replace(F.expr("substring(x, length(h) + 1)"), r"\s", ""))
+    rows = records.select(body.alias("x"), head.alias("h")).select(F.regexp_extract("h", r"^(\S*)", 1).alias("seq_id"), seq.alias("seq")).where("seq_id <> '' and seq <> ''")
+    return rows.groupBy("seq_id").agg(F.max("seq").alias("seq"))
+
+
+def fasta_lines(df: DataFrame, width: int = 60) -> DataFrame:
+    """Records as text, bases wrapped; write with ``.write.text``."""
+    wrapped = F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n")
+    return df.select(F.concat(F.lit(">"), F.col("seq_id"), F.lit("\n"), wrapped).alias("value"))
+
+
+def read_agp(spark: SparkSession, path: str) -> DataFrame:
+    x = _rows(spark, path, ["obj", "a", "b", "part", "ctype", "c", "d", "e", "f"], 9)
+    n = lambda c: F.col(c).cast("long")
+    gap = F.col("ctype").isin("N", "U")
+    none = F.lit(None)
+    return x.select(
+        "obj", (n("a") - 1).alias("obj_start"), n("b").alias("obj_end"), n("part").alias("part"), "ctype", F.when(~gap, F.col("c")).alias("comp"),
+        F.when(~gap, F.expr("try_cast(d as bigint)") - 1).alias("comp_start"), F.when(~gap, F.expr("try_cast(e as bigint)")).alias("comp_end"), F.when(~gap, F.col("f")).alias("strand"),
+        F.when(gap, F.expr("try_cast(c as bigint)")).alias("gap_len"), F.when(gap, F.col("d")).alias("gap_type"), F.when(gap, F.col("e")).otherwise(none).alias("linkage"), F.when(gap, F.col("f")).alias("evidence"),
+    )
+
+
+def agp_lines(df: DataFrame) -> DataFrame:
+    gap = F.col("ctype").isin("N", "U")
+    return df.select(F.concat_ws("\t", "obj", F.col("obj_start") + 1, "obj_end", "part", "ctype", F.when(gap, F.concat_ws("\t", "gap_len", "gap_type", "linkage", "evidence")).otherwise(F.concat_ws("\t", "comp", F.col("comp_start") + 1, "comp_end", "strand"))).alias("value"))
+
+
+def read_bed(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, start, end, name, score, strand), the last three null where absent; repeated spans are one."""
+    x = _rows(spark, path, ["chrom", "start", "end", "name", "score", "strand"], 3)
+    return x.withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long")}).dropDuplicates(["chrom", "start", "end", "name"])
+
+
+def read_paf(spark: SparkSession, path: str) -> DataFrame:
+    x = _rows(spark, path, ["qid", "q_len", "q_start", "q_end", "strand", "tid", "t_len", "t_start", "t_end", "matches", "hit_len"], 11)
+    return x.withColumns({c: F.col(c).cast("long") for c in ("q_len", "q_start", "q_end", "t_len", "t_start", "t_end", "matches", "hit_len")})
+
+
+def read_psl(spark: SparkSession, path: str) -> DataFrame:
+    names = ["matches", "mismatch", "rep", "n", "q_gaps", "q_gap_len", "t_gaps", "t_gap_len", "strand", "qid", "q_len", "q_start", "q_end", "tid", "t_len", "t_start", "t_end"]
+    x = _rows(spark, path, names, 17)
+    x = x.withColumns({c: F.expr(f"try_cast({c} as bigint)") for c in names if c not in ("strand", "qid", "tid")})
+    return x.where("matches is not null").withColumn("hit_len", F.expr("matches + mismatch + t_gap_len"))
+
+
+def read_coords(spark: SparkSession, path: str) -> DataFrame:
+    """Alignment coordinates of 13 columns; matches are the identical part of the hit, cut to a whole number."""
+    x = _rows(spark, path, ["ts", "te", "qs", "qe", "t_hit", "hit_len", "identity", "t_len", "q_len", "t_cov", "q_cov", "tid", "qid"], 13)
+    n = lambda c: F.col(c).cast("long")
+    return x.select("tid", "qid", (n("ts") - 1).alias("t_start"), n("te").alias("t_end"), (F.least(n("qs"), n("qe")) - 1).alias("q_start"), F.greatest(n("qs"), n("qe")).alias("q_end"), F.when(n("qs") <= n("qe"), "+").otherwise("-").alias("strand"), n("hit_len").alias("hit_len"), F.expr("cast(floor(cast(hit_len as double) * cast(identity as double) / 100) as bigint)").alias("matches"))
+
+
+def read_gff3(spark: SparkSession, path: str) -> DataFrame:
+    """One row per feature and parent: seqname, source, feature, start, end, score, strand, phase, attrs, id, parent."""
+    x = _rows(spark, path, ["seqname", "source", "feature", "a", "b", "score", "strand", "phase", "attr"], 9)
+    repaired = F.regexp_replace("attr", r"(?<=[^;])(?=(?:coverage|identity)=)", ";")
+    x = x.withColumn("attrs", F.str_to_map(F.regexp_replace(repaired, r";+$", ""), F.lit(";"), F.lit("=")))
+    x = x.select("seqname", "source", "feature", (F.col("a").cast("long") - 1).alias("start"), F.col("b").cast("long").alias("end"), "score", "strand", "phase", "attrs", F.col("attrs")["ID"].alias("id"), F.explode_outer(F.split(F.col("attrs")["Parent"], ",")).alias("parent"))
+    return x.where("feature not in ('intron', 'intergenic')")
+
+
+def read_block(spark: SparkSession, path: str) -> DataFrame:
+    """(obj, ord, seq_id, start, end, strand) of files with ``>object`` headers and a component on each line."""
+    parts = spark.read.option("lineSep", "\n>").text(path)
+    body = parts.select(F.regexp_replace("value", r"^>", "").alias("x"))
+    lines = body.select(F.regexp_extract("x", r"^(\S+)", 1).alias("obj"), F.expr("slice(split(x, '\\r?\\n'), 2, 2147483647)").alias("ls")).where("obj <> ''")
+    good = F.filter("ls", lambda s: (F.trim(s) != "") & ~F.startswith(F.trim(s), F.lit("#")))
+    f = F.split(F.trim("l"), r"\s+")
+    x = lines.select("obj", F.posexplode(good).alias("i", "l")).select("obj", "i", f.alias("f"))
+    return x.select("obj", (F.col("i") + 1).alias("ord"), F.get("f", F.lit(0)).alias("seq_id"), F.get("f", F.lit(1)).cast("long").alias("start"), F.get("f", F.lit(2)).cast("long").alias("end"), F.get("f", F.lit(3)).alias("strand"))
+
+
+def read_table(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """Any of the tab-separated lists (markers, pairs, exclusions, coverage, ...), as strings."""
+    return _rows(spark, path, names, 1)
+
+
+def depth_runs(df: DataFrame) -> DataFrame:
+    """Coverage (chrom, start, end, depth) from intervals (chrom, start, end): a sweep over their ends."""
+    from pyspark.sql import Window
+
+    ends = df.select("chrom", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))).alias("e")).groupBy("chrom", "e.at").agg(F.sum("e.d").alias("d"))
+    w = Window.partitionBy("chrom").orderBy("at")
+    swept = ends.select("chrom", F.col("at").alias("start"), F.lead("at").over(w).alias("end"), F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"))
+    return swept.where("depth > 0 and end is not null")
+
+
+def oriented(c: Column) -> Column:
+    """``id|+`` as a struct of id and strand."""
+    return F.struct(F.regexp_extract(c, r"^(.*)\|[+.-]$", 1).alias("seq_id"), F.regexp_extract(c, r"\|([+.-])$", 1).alias("strand"))
