@@ -164,38 +164,42 @@ def likely(pairs: DataFrame, reps: DataFrame, k: int, similarity: float) -> Data
 def compared(members: DataFrame, leaders: DataFrame, k: int, similarity: float) -> DataFrame:
     """Likely pairs (a, b) of a bucket's members and its leaders b of other classes.
 
-    ``members`` has bucket, n (of the bucket), rep, label, sig; ``leaders`` the same for a few
-    members. A bucket is dealt out in parts of some thousand members, each with all leaders;
-    signatures are compared in blocks and only likely pairs become rows.
+    ``members`` has bucket, n (of the bucket), rep, label, bands, sig; ``leaders`` the same for
+    a few members. A bucket is dealt out in parts of some thousand members, each with all
+    leaders; signatures are compared in blocks and only likely pairs become rows, each in
+    the first bucket that the two share and the leader leads.
     """
     parts = F.ceil(F.col("n") / PART).cast("int")
-    columns = ["bucket", "part", "kind", "rep", "label", "sig"]
-    first = leaders.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("kind", F.lit(0)).select(columns)
-    rest = members.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("kind", F.lit(1)).select(columns)
+    columns = ["bucket", "part", "kind", "rep", "label", "sig", "bands", "leads"]
+    leads = leaders.groupBy(F.col("rep").alias("l_rep")).agg(F.collect_list("bucket").alias("leads"))  # at most one for each band
+    first = leaders.join(leads, F.col("rep") == F.col("l_rep")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("kind", F.lit(0)).select(columns)
+    rest = members.withColumns({"part": F.pmod(F.xxhash64("rep"), parts).cast("int"), "kind": F.lit(1), "leads": F.lit(None).cast("array<bigint>")}).select(columns)
     spark = members.sparkSession
     dealt = first.unionByName(rest).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket", "part").sortWithinPartitions("bucket", "part", "kind")
     least = similarity - MARGIN * math.sqrt(similarity * (1 - similarity) / k)
 
     def run(batches):
-        at, ids, classes, sigs = None, [], [], []
+        at, held = None, []
         for b in batches:
             bucket, part, kind, rep, label = (b.column(i).to_numpy() for i in range(5))
             sig = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(-1, k)
+            bands = b.column(6).flatten().to_numpy().reshape(len(bucket), -1)
             edges = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])])
             out = [[], []]
             for lo, hi in zip(edges, np.r_[edges[1:], len(bucket)], strict=True):
                 key = (bucket[lo], part[lo])
                 if key != at:
-                    at, ids, classes, sigs = key, [], [], []
+                    at, held = key, []
                 if kind[lo] == 0:
-                    ids += rep[lo:hi].tolist()
-                    classes += label[lo:hi].tolist()
-                    sigs += list(sig[lo:hi])
+                    held += [(int(rep[i]), label[i], sig[i].copy(), np.where(np.isin(bands[i], b.column(7)[i].as_py()), bands[i], 0)) for i in range(lo, hi)]
                     continue
-                for i, c, s in zip(ids, classes, sigs, strict=True):
-                    good = lo + np.flatnonzero(((sig[lo:hi] == s).mean(1) >= least) & (label[lo:hi] != c))
+                for leader, own, s, led in held:
+                    good = lo + np.flatnonzero(((sig[lo:hi] == s).mean(1) >= least) & (label[lo:hi] != own))
+                    if len(good):
+                        shared = (bands[good] == led) & (led != 0)
+                        good = good[led[shared.argmax(1)] == key[0]]
                     out[0] += rep[good].tolist()
-                    out[1] += [i] * len(good)
+                    out[1] += [leader] * len(good)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
@@ -254,10 +258,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut(verified(pairs, texts, similarity), "links")
     labels = components(links)
     tested, leaders, most = pairs.withColumnsRenamed({"a": "p_a", "b": "p_b"}), None, 4
-    open_members = cut(held.where("n > 2").join(reps.select(F.col("rep").alias("s_rep"), "sig"), F.col("rep") == F.col("s_rep")).select("rep", "bucket", "n", "sig"), "open")
+    open_members = cut(held.where("n > 2").join(reps.select(F.col("rep").alias("s_rep"), "sig", "bands"), F.col("rep") == F.col("s_rep")).select("rep", "bucket", "n", "sig", "bands"), "open")
     while True:
         # Buckets with several classes, and their members outside the largest class that have not been leaders.
-        marked = cut(open_members.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "bucket", "n", "sig", F.coalesce("label", "rep").alias("label")), "marked")
+        marked = cut(open_members.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "bucket", "n", "sig", "bands", F.coalesce("label", "rep").alias("label")), "marked")
         by_class = marked.groupBy("bucket", "label").agg(F.count("*").alias("of"))
         largest = by_class.groupBy("bucket").agg(F.max_by("label", F.struct("of", -F.col("label"))).alias("top"), F.count("*").alias("classes")).where("classes > 1").select(F.col("bucket").alias("t_bucket"), "top")
         left = marked.join(largest, (F.col("bucket") == F.col("t_bucket")) & (F.col("label") != F.col("top")))
@@ -267,7 +271,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         salted = left.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(most)), F.lit(64)))
         some = salted.withColumn("place", F.row_number().over(Window.partitionBy("bucket", "salt").orderBy("rep"))).where(f"place <= {most}")
         some = some.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("place", "rep"))).where(f"place <= {most}")
-        some = cut(some.select("rep", "bucket", "n", "sig", "label"), "leaders")
+        some = cut(some.select("rep", "bucket", "n", "sig", "bands", "label"), "leaders")
         if not some.head(1):
             break
         found = cut(compared(marked, some, k, similarity), "likely")
