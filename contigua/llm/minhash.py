@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from contigua.llm.components import components
+from contigua.llm.components import compact, components
 from contigua.llm.substring_dedup import mixed, window_hashes, word_hashes
 from contigua.session import cut, ship
 
@@ -209,7 +209,6 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     """Those pairs (a, b) whose shingle sets have the similarity. Grouped by b, in groups of bounded size."""
     n = pairs.groupBy("b").agg(F.count("*").alias("n")).where(f"n > {GROUP}").select(F.col("b").alias("big"), F.ceil(F.col("n") / GROUP).cast("int").alias("parts"))
     placed = pairs.join(n, F.col("b") == F.col("big"), "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
-    placed = cut(placed, "pairs")
     # Each group needs the text of its centre once and those of its members.
     wants = placed.select(F.col("a").alias("doc"), "b", "part").unionByName(placed.select(F.col("b").alias("doc"), "b", "part").distinct())
     rows = wants.join(texts, F.col("doc") == F.col("t_id")).select("b", "part", "doc", "text")
@@ -246,11 +245,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = cut(signatures(rows.where("doc_id is not null"), bands, rows_of_band), "signatures")
     copies = signed.groupBy("copy").agg(F.min("doc_id").alias("rep"))
-    owner = cut(signed.select("doc_id", "copy").join(copies, "copy").select("doc_id", "rep"), "copies")
-    reps = cut(signed.join(copies.select(F.col("copy").alias("c"), "rep"), (F.col("doc_id") == F.col("rep")) & (F.col("copy") == F.col("c"))).select("rep", "bands", "sig").dropDuplicates(["rep"]), "reps")
+    size, wide = signed.count(), 8 * bands + k + 32
+    owner = cut(compact(signed.select("doc_id", "copy").join(copies, "copy").select("doc_id", "rep"), size), "copies")
+    reps = cut(compact(signed.join(copies.select(F.col("copy").alias("c"), "rep"), (F.col("doc_id") == F.col("rep")) & (F.col("copy") == F.col("c"))).select("rep", "bands", "sig").dropDuplicates(["rep"]), size, wide), "reps")
     member = reps.select("rep", F.explode("bands").alias("bucket"))
     buckets = member.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    held = cut(member.join(buckets, "bucket"), "buckets")
+    held = cut(compact(member.join(buckets, "bucket"), size * bands), "buckets")
     star = held.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
     pairs = cut(likely(star, reps, k, similarity), "pairs")
     in_bucket = held.select(F.col("rep").alias("w_id")).distinct()
@@ -259,9 +259,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links)
     tested, leaders, most = pairs.withColumnsRenamed({"a": "p_a", "b": "p_b"}), None, 4
     open_members = cut(held.where("n > 2").join(reps.select(F.col("rep").alias("s_rep"), "sig", "bands"), F.col("rep") == F.col("s_rep")).select("rep", "bucket", "n", "sig", "bands"), "open")
+    n_open = open_members.count()
     while True:
         # Buckets with several classes, and their members outside the largest class that have not been leaders.
-        marked = cut(open_members.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "bucket", "n", "sig", "bands", F.coalesce("label", "rep").alias("label")), "marked")
+        marked = cut(compact(open_members.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "bucket", "n", "sig", "bands", F.coalesce("label", "rep").alias("label")), n_open, wide), "marked")
         by_class = marked.groupBy("bucket", "label").agg(F.count("*").alias("of"))
         largest = by_class.groupBy("bucket").agg(F.max_by("label", F.struct("of", -F.col("label"))).alias("top"), F.count("*").alias("classes")).where("classes > 1").select(F.col("bucket").alias("t_bucket"), "top")
         left = marked.join(largest, (F.col("bucket") == F.col("t_bucket")) & (F.col("label") != F.col("top")))
@@ -271,11 +272,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         salted = left.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(most)), F.lit(64)))
         some = salted.withColumn("place", F.row_number().over(Window.partitionBy("bucket", "salt").orderBy("rep"))).where(f"place <= {most}")
         some = some.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("place", "rep"))).where(f"place <= {most}")
-        some = cut(some.select("rep", "bucket", "n", "sig", "bands", "label"), "leaders")
+        some = cut(compact(some.select("rep", "bucket", "n", "sig", "bands", "label"), n_open, wide), "leaders")
         if not some.head(1):
             break
-        found = cut(compared(marked, some, k, similarity), "likely")
-        fresh = cut(found.join(tested, (F.col("a") == F.col("p_a")) & (F.col("b") == F.col("p_b")), "left_anti"), "fresh")
+        # A member meets at most ``most`` leaders of a bucket; that bounds the rows.
+        fresh = cut(compact(compared(marked, some, k, similarity).join(tested, (F.col("a") == F.col("p_a")) & (F.col("b") == F.col("p_b")), "left_anti"), n_open * most), "fresh")
         more = cut(verified(fresh, texts, similarity), "links")
         tested = tested.unionByName(fresh.select(F.col("a").alias("p_a"), F.col("b").alias("p_b")))
         leaders = some.select("rep", "bucket") if leaders is None else leaders.unionByName(some.select("rep", "bucket"))
@@ -284,7 +285,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             between = more.join(of("a"), F.col("a") == F.col("n_a"), "left").join(of("b"), F.col("b") == F.col("n_b"), "left").select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b"))
             joined = components(between).withColumnsRenamed({"node": "old", "label": "new"})
             grown = labels.select("node", "label").unionByName(more.select(F.col("a").alias("node")).union(more.select(F.col("b"))).distinct().join(labels.select(F.col("node").alias("has")), F.col("node") == F.col("has"), "left_anti").select("node", F.col("node").alias("label")))
-            labels = cut(grown.join(joined, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+            labels = cut(compact(grown.join(joined, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label")), size), "labels")
         most *= 4
     classed = owner.join(labels, F.col("rep") == F.col("node"), "left").groupBy("doc_id").agg(F.min("rep").alias("rep_id"), F.min(F.coalesce("label", "rep")).alias("class_id"))
     out = rows.select("doc_id").join(classed.withColumnRenamed("doc_id", "c_id"), F.col("doc_id") == F.col("c_id"), "left")
