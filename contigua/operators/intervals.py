@@ -52,3 +52,26 @@ def nearest(points: DataFrame, gaps: DataFrame, key: str) -> DataFrame:
     up = F.last("g", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     down = F.first("e", True).over(w.rowsBetween(0, Window.unboundedFollowing))
     return both.select(key, "pos", "what", up.alias("up"), down.alias("down")).where("what = 1").drop("what")
+
+
+def noncrossing(df: DataFrame, key: str, order: list[str], start: str, end: str) -> DataFrame:
+    """Rows in order, ``kept`` where the mate starts after the last kept mate ends; ``order`` must be unique within a key."""
+    folded = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(start).alias("__s"), F.col(end).alias("__e")))).alias("xs"))
+    empty = F.struct(F.lit(-(1 << 62)).cast("long").alias("stop"), F.expr("cast(array() as array<boolean>)").alias("kept"))
+    kept = F.aggregate("xs", empty, lambda a, x: F.struct(F.when(x["__s"] > a["stop"], x["__e"]).otherwise(a["stop"]).alias("stop"), F.concat(a["kept"], F.array(x["__s"] > a["stop"])).alias("kept")), lambda a: a["kept"])
+    rows = folded.select(key, F.explode(F.arrays_zip(F.col("xs"), kept.alias("kept"))).alias("z"))
+    return rows.select(key, *[F.col(f"z.xs.{c}").alias(c) for c in order], F.col("z.xs.__s").alias(start), F.col("z.xs.__e").alias(end), F.col("z.kept").alias("kept"))
+
+
+def grow_regions(regions: DataFrame, features: DataFrame, key: str) -> DataFrame:
+    """Regions (key, id, a, b) widened until no feature reaches over an edge: with the islands of features they overlap."""
+    islands = merge(features, key).select(F.col(key).alias("i_key"), F.col("start").alias("i_start"), F.col("end").alias("i_end"))
+    met = regions.join(islands, (F.col(key) == F.col("i_key")) & (F.col("i_start") < F.col("b")) & (F.col("i_end") > F.col("a")), "left")
+    return met.groupBy(key, "id", "a", "b").agg(F.min("i_start").alias("lo"), F.max("i_end").alias("hi")).select(key, "id", F.least("a", F.coalesce("lo", "a")).alias("a"), F.greatest("b", F.coalesce("hi", "b")).alias("b"))
+
+
+def subtract_span(df: DataFrame, lo: str, hi: str) -> DataFrame:
+    """What of each row's [start, end) lies before ``lo`` (side left) and from ``hi`` on (side right); one row each."""
+    left = F.struct(F.lit("left").alias("side"), F.col("start").alias("u_start"), F.least("end", lo).alias("u_end"))
+    right = F.struct(F.lit("right").alias("side"), F.greatest("start", hi).alias("u_start"), F.col("end").alias("u_end"))
+    return df.withColumn("__u", F.explode(F.array(left, right))).select(*df.columns, "__u.*").where("u_start < u_end")

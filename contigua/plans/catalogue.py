@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from contigua import functions as fn
-from contigua.operators import chain, intervals, stats, structure
+from contigua.operators import chain, intervals, matching, signals, stats, structure
 from contigua.plans import views as v
 from contigua.session import table
 
@@ -490,3 +490,101 @@ def except_unused(s, d):
 @query("select distinct l_suppkey as a, l_partkey % 25 as b from lineitem")
 def distinct_breaks(s, d):
     return table(s, d, "lineitem").selectExpr("l_suppkey as a", "l_partkey % 25 as b").distinct()
+
+
+# Constraints between hits, structures and regions
+
+
+@query(", h as (select distinct tid, qid, ts, te, qs, qe from v_hit), o as (select *, row_number() over (partition by tid, qid order by ts, te, qs, qe) as n from h), r(tid, qid, n, ts, te, qs, qe, stop, kept) as (select tid, qid, n, ts, te, qs, qe, qe, true from o where n = 1 union all select o.tid, o.qid, o.n, o.ts, o.te, o.qs, o.qe, case when o.qs > r.stop then o.qe else r.stop end, o.qs > r.stop from r join o on o.tid = r.tid and o.qid = r.qid and o.n = r.n + 1) select tid, qid, ts, te, qs, qe, kept from r", recursive=True)
+def noncrossing_filter(s, d):
+    h = v.hit(s, d).select("tid", "qid", "ts", "te", "qs", "qe").distinct().withColumn("pair", F.struct("tid", "qid"))
+    out = intervals.noncrossing(h.withColumns({"m_s": F.col("qs"), "m_e": F.col("qe")}), "pair", ["ts", "te", "qs", "qe"], "m_s", "m_e")
+    return out.select("pair.tid", "pair.qid", "ts", "te", "qs", "qe", "kept")
+
+
+@query(""", k as (select obj, part, greatest(ts, obj_start) as lo, least(te, obj_end) as hi, matches, te - ts as n from v_agp join v_hit on tid = obj where ctype = 'W' and ts < obj_end and te > obj_start)
+select obj, part, count(*) as n_hits, cast(min(lo) as bigint) as start, cast(max(hi) as bigint) as stop, cast(sum(matches * (hi - lo) // n) as bigint) as matches from k group by all""")
+def component_clip_agg(s, d):
+    j = agp(s, d).where("ctype = 'W'").join(v.hit(s, d), F.expr("tid = obj and ts < obj_end and te > obj_start"))
+    k = j.select("obj", "part", F.greatest("ts", "obj_start").alias("lo"), F.least("te", "obj_end").alias("hi"), "matches", F.expr("te - ts as n"))
+    return k.groupBy("obj", "part").agg(F.count("*").alias("n_hits"), F.min("lo").alias("start"), F.max("hi").alias("stop"), F.sum(F.expr("matches * (hi - lo) div n")).alias("matches"))
+
+
+@query(""", l as (select tid, max(te) as len from v_hit group by tid), e as (select tid, qid, ts, te, qs, qe, matches from v_hit join l using (tid) where te >= len - 5000 and qs <= 50000 and matches > 100)
+select tid, qid, max(matches) as matches, count(*) as n from e group by all""")
+def extremity_overlap(s, d):
+    h = v.hit(s, d)
+    ends = h.groupBy(F.col("tid").alias("e_tid")).agg(F.max("te").alias("len"))
+    return h.where("qs <= 50000 and matches > 100").join(ends, F.expr("tid = e_tid and te >= len - 5000")).groupBy("tid", "qid").agg(F.max("matches").alias("matches"), F.count("*").alias("n"))
+
+
+@query()
+def greedy_matching(s, d):
+    scores = v.hit(s, d).groupBy(F.col("tid").alias("a"), F.col("qid").alias("b")).agg(F.sum("matches").alias("score"))
+    return matching.greedy_matching(scores, 1000)
+
+
+@query(""", o as (select chr, gene as id, start as a, start + 3600 as b from v_gene where gene % 10 = 0),
+r as (select chr, id, a, b, 0 as i from o union all select * from (select r.chr, r.id, least(r.a, min(g.start)) as a, greatest(r.b, max(g."end")) as b, r.i + 1 as i from r join v_gene g on g.chr = r.chr and g.start < r.b and g."end" > r.a group by r.chr, r.id, r.a, r.b, r.i) t where i < 40 and exists (select 1 from r where r.id = t.id and (r.a <> t.a or r.b <> t.b)))
+select chr, id, cast(min(a) as bigint) as a, cast(max(b) as bigint) as b from r group by chr, id""", recursive=True)
+def gene_region_fixpoint(s, d):
+    g = v.gene(s, d)
+    return intervals.grow_regions(g.where("gene % 10 = 0").selectExpr("chr", "gene as id", "start as a", "start + 3600 as b"), g.select("chr", "start", "end"), "chr")
+
+
+@query(""", g as (select *, chr % 2 = 0 as plus from v_gene), m as (select chr, min(start) + 50000 as lo, max("end") - 50000 as hi from g group by chr),
+u as (select chr, gene, plus, 'left' as side, start as a, least("end", lo) as b from g join m using (chr) union all select chr, gene, plus, 'right', greatest(start, hi), "end" from g join m using (chr))
+select chr, gene, case when plus = (side = 'left') then 'five_prime' else 'three_prime' end as kind, a as start, b as stop from u where a < b""")
+def utr_spans(s, d):
+    """Exons less the coding span; the side and the strand name the end."""
+    g = v.gene(s, d).select("chr", "gene", "start", "end")
+    span = g.groupBy(F.col("chr").alias("m_chr")).agg((F.min("start") + 50000).alias("lo"), (F.max("end") - 50000).alias("hi"))
+    u = intervals.subtract_span(g.join(span, F.col("chr") == F.col("m_chr")), "lo", "hi")
+    return u.select("chr", "gene", F.when(F.expr("(chr % 2 = 0) = (side = 'left')"), "five_prime").otherwise("three_prime").alias("kind"), F.col("u_start").alias("start"), F.col("u_end").alias("stop"))
+
+
+@query(", c as (select distinct chr from v_gene where kind = 'purchase' and gene % 7 = 0) select gene, chr from v_gene where chr not in (select chr from c)")
+def transcripts_without_cds(s, d):
+    g = v.gene(s, d)
+    return g.join(g.where("kind = 'purchase' and gene % 7 = 0").select(F.col("chr").alias("c_chr")).distinct(), F.col("chr") == F.col("c_chr"), "left_anti").select("gene", "chr")
+
+
+@query(', l as (select chr, max(start) as len from v_gene group by chr) select gene, chr, start, least("end", len) as stop from v_gene join l using (chr) where start < len')
+def exon_clip(s, d):
+    """Exons end with their sequence; those beyond it go."""
+    g = v.gene(s, d)
+    ends = g.groupBy(F.col("chr").alias("l_chr")).agg(F.max("start").alias("len"))
+    return g.join(ends, F.expr("chr = l_chr and start < len")).select("gene", "chr", "start", F.least("end", "len").alias("stop"))
+
+
+@query(""", p as (select obj, max(obj_end) * 37 % max(obj_end) + 7 * obj % max(obj_end) as pos from v_agp group by obj)
+select p.obj, p.pos, comp, case when strand = '+' then comp_start + pos - obj_start else comp_end - 1 - (pos - obj_start) end as at from p join v_agp a on a.obj = p.obj and ctype = 'W' and pos >= obj_start and pos < obj_end""")
+def liftover_point(s, d):
+    a = agp(s, d)
+    p = a.groupBy(F.col("obj").alias("p_obj")).agg(F.expr("max(obj_end) * 37 % max(obj_end) + 7 * any_value(obj) % max(obj_end) as pos"))
+    j = p.join(a.where("ctype = 'W'"), F.expr("obj = p_obj and pos >= obj_start and pos < obj_end"))
+    return j.select("obj", "pos", "comp", F.expr("case when strand = '+' then comp_start + pos - obj_start else comp_end - 1 - (pos - obj_start) end as at"))
+
+
+@query(""", p as (select obj, 7919 * obj % max(obj_end) as pos from v_agp group by obj), n as (select obj, obj_start as g, obj_end as e from v_agp where ctype = 'N')
+select obj, pos, greatest(0, pos - 20000, coalesce((select max(e) from n where n.obj = p.obj and e <= pos), 0)) as start, pos as stop from p""")
+def flanking_clip(s, d):
+    """[pos - 20000, pos) as far as the last gap before it leaves it."""
+    a = agp(s, d)
+    p = a.groupBy("obj").agg(F.expr("7919 * any_value(obj) % max(obj_end) as pos"))
+    g = a.where("ctype = 'N'").select(F.col("obj"), F.col("obj_end").alias("start"), F.col("obj_end").alias("end"))
+    return intervals.nearest(p, g, "obj").select("obj", "pos", F.greatest(F.lit(0), F.col("pos") - 20000, F.coalesce("up", F.lit(0))).alias("start"), F.col("pos").alias("stop"))
+
+
+@query(""", b as (select chr, start // 3600 as bin, count(*) as depth from v_gene group by all), x as (select *, row_number() over w as i, count(*) over (partition by chr) as n, depth as c, lag(depth, 1) over w as l1, lag(depth, 2) over w as l2, lag(depth, 3) over w as l3, lag(depth, 4) over w as l4, lead(depth, 1) over w as r1, lead(depth, 2) over w as r2, lead(depth, 3) over w as r3, lead(depth, 4) over w as r4 from b window w as (partition by chr order by bin))
+select chr, bin, cast(round(case when n < 5 then c when i = 1 then (69 * c + 4 * r1 - 6 * r2 + 4 * r3 - r4) / 70 when i = 2 then (2 * l1 + 27 * c + 12 * r1 - 8 * r2 + 2 * r3) / 35 when i = n then (69 * c + 4 * l1 - 6 * l2 + 4 * l3 - l4) / 70 when i = n - 1 then (2 * r1 + 27 * c + 12 * l1 - 8 * l2 + 2 * l3) / 35 else (-3 * l2 + 12 * l1 + 17 * c + 12 * r1 - 3 * r2) / 35 end * 70) as bigint) as seventieths from x""")
+def savitzky_golay(s, d):
+    b = v.gene(s, d).groupBy("chr", F.expr("start div 3600 as bin")).agg(F.count("*").alias("depth"))
+    return signals.savitzky_golay(b, "chr", "bin", "depth").select("chr", "bin", F.expr("cast(round(smooth * 70) as bigint) as seventieths"))
+
+
+@query(", x as (select k.seq % 2 as hap, m.chr, marker, count(distinct k.seq) as n from v_marker k join v_map m using (marker) group by all) select a.chr, a.marker, a.n as h1, b.n as h2 from x a join x b on a.chr = b.chr and a.marker = b.marker where a.hap = 0 and b.hap = 1")
+def shared_markers(s, d):
+    """Markers that both haplotypes (even and odd sequences) carry."""
+    x = marker_join(s, d).groupBy("chr", "marker").agg(F.countDistinct(F.expr("if(seq % 2 = 0, seq, null)")).alias("h1"), F.countDistinct(F.expr("if(seq % 2 = 1, seq, null)")).alias("h2"))
+    return x.where("h1 > 0 and h2 > 0")
