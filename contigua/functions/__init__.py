@@ -32,6 +32,16 @@ def translated(c: Column) -> Column:
     return F.array_join(F.transform(codons, one), "")
 
 
+def open_phase(c: Column) -> Column:
+    """The first of the phases 0 to 2 that reads ATG first and no stop before its last codon; else null."""
+
+    def whole(phase):
+        rest = c.substr(F.lit(phase + 1), F.length(c))
+        return rest.startswith("ATG") & ~translated(rest).rlike("\\*(?s:.)")
+
+    return F.coalesce(*[F.when(whole(i), F.lit(i)) for i in range(3)])
+
+
 def runs_of(c: Column, expression: str) -> Column:
     """Spans (start, end), 0-based half-open, of the expression's matches."""
     found, between = F.regexp_extract_all(c, F.lit(expression), F.lit(0)), F.split(c, expression, -1)

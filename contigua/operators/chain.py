@@ -39,3 +39,24 @@ def most_markers(marks: DataFrame, keys: list[str]) -> DataFrame:
 def best_per_query(scores: DataFrame, query: str, target: str) -> DataFrame:
     """The best target of each query; ties go to the smaller target."""
     return scores.groupBy(query).agg(F.max_by(target, F.struct("score", -F.col(target))).alias(target), F.max("score").alias("score"))
+
+
+def best_tiling(hits: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """Most covered by hits (ts, te, forced) of each group in a row: the next one starts 0 to ``limit`` after the last one's end.
+
+    A tiling has all forced hits; score is null where none can, as when they overlap.
+    """
+    item = F.struct("ts", "te", F.col("forced").cast("long").alias("f"))
+    folded = hits.where("te > ts").groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("xs"), F.sum(F.col("forced").cast("long")).alias("all"))
+    start = F.expr("named_struct('seen', 0L, 'ends', cast(array() as array<struct<te:bigint,k:bigint,score:bigint>>))")
+
+    def step(a, x):
+        # A tiling that goes on here has every forced hit so far.
+        before = F.filter(a["ends"], lambda y: (y["k"] == a["seen"]) & (x["ts"] >= y["te"]) & (x["ts"] - y["te"] <= limit))
+        best = F.coalesce(F.array_max(F.transform(before, lambda y: y["score"])), F.when(a["seen"] == 0, F.lit(0)))
+        end = F.array(F.struct(x["te"].alias("te"), (a["seen"] + x["f"]).alias("k"), (best + x["te"] - x["ts"]).alias("score")))
+        return F.struct((a["seen"] + x["f"]).alias("seen"), F.when(best.isNull(), a["ends"]).otherwise(F.concat(a["ends"], end)).alias("ends"))
+
+    end = lambda a: a["ends"]
+    done = folded.select(*keys, "all", F.aggregate("xs", start, step, end).alias("ends"))
+    return done.select(*keys, F.array_max(F.transform(F.filter("ends", lambda y: y["k"] == F.col("all")), lambda y: y["score"])).alias("score"))

@@ -75,3 +75,22 @@ def subtract_span(df: DataFrame, lo: str, hi: str) -> DataFrame:
     left = F.struct(F.lit("left").alias("side"), F.col("start").alias("u_start"), F.least("end", lo).alias("u_end"))
     right = F.struct(F.lit("right").alias("side"), F.greatest("start", hi).alias("u_start"), F.col("end").alias("u_end"))
     return df.withColumn("__u", F.explode(F.array(left, right))).select(*df.columns, "__u.*").where("u_start < u_end")
+
+
+def tolerant_runs(df: DataFrame, key: str, order: str, value: str, tolerance: int) -> DataFrame:
+    """(key, run, first, n, start, stop): a run goes on while values stay within ``tolerance`` of its first one.
+
+    A fold over one key's values in order; every run counts, the last one too.
+    """
+    xs = F.sort_array(F.collect_list(F.struct(F.col(order).cast("long").alias("at"), F.col(value).cast("long").alias("v"))))
+    empty = F.expr("cast(array() as array<struct<first:bigint,n:bigint,start:bigint,stop:bigint>>)")
+
+    def step(a, x):
+        last = F.try_element_at(a, F.lit(-1))
+        on = (F.size(a) > 0) & (F.abs(x["v"] - last["first"]) <= tolerance)
+        fresh = F.struct(x["v"].alias("first"), F.lit(1).cast("long").alias("n"), x["at"].alias("start"), x["at"].alias("stop"))
+        longer = F.struct(last["first"].alias("first"), (last["n"] + 1).alias("n"), last["start"].alias("start"), x["at"].alias("stop"))
+        return F.when(on, F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(a, F.array(fresh)))
+
+    folded = df.groupBy(key).agg(F.aggregate(xs, empty, step).alias("runs"))
+    return folded.select(key, F.posexplode("runs").alias("run", "r")).select(key, (F.col("run") + 1).cast("long").alias("run"), "r.first", "r.n", "r.start", "r.stop")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from contigua import functions as fn
-from contigua.operators import chain, intervals, matching, signals, stats, structure
+from contigua.operators import chain, intervals, matching, placing, signals, stats, structure
 from contigua.plans import views as v
 from contigua.session import table
 
@@ -588,3 +588,79 @@ def shared_markers(s, d):
     """Markers that both haplotypes (even and odd sequences) carry."""
     x = marker_join(s, d).groupBy("chr", "marker").agg(F.countDistinct(F.expr("if(seq % 2 = 0, seq, null)")).alias("h1"), F.countDistinct(F.expr("if(seq % 2 = 1, seq, null)")).alias("h2"))
     return x.where("h1 > 0 and h2 > 0")
+
+
+# Placing
+
+
+@query(", b as (select chr, start // 3600 as bin, count(*) as depth from v_gene group by all), o as (select *, row_number() over (partition by chr order by bin) as n from b), r(chr, n, bin, first, run) as (select chr, n, bin, depth, cast(1 as bigint) from o where n = 1 union all select o.chr, o.n, o.bin, case when abs(o.depth - r.first) <= 1 then r.first else o.depth end, case when abs(o.depth - r.first) <= 1 then r.run else r.run + 1 end from r join o on o.chr = r.chr and o.n = r.n + 1) select chr, run, first, count(*) as n, min(bin) as start, max(bin) as stop from r group by chr, run, first", recursive=True)
+def rle_tolerant(s, d):
+    b = v.gene(s, d).groupBy("chr", F.expr("start div 3600 as bin")).agg(F.count("*").alias("depth"))
+    return intervals.tolerant_runs(b, "chr", "bin", "depth", 1)
+
+
+@query(""", h as (select tid, qid, ts, te, bool_or(matches % 97 = 5) as forced from v_hit group by all), f as (select tid, qid, ts, te, forced, count(*) filter (forced) over w - forced::int as seen, count(*) filter (forced) over (partition by tid, qid) as total, row_number() over w as id from h window w as (partition by tid, qid order by ts, te rows unbounded preceding)),
+r as (select tid, qid, id, te, seen + forced::int as k, total, te - ts as score from f where seen = 0 union all select f.tid, f.qid, f.id, f.te, any_value(f.seen + f.forced::int), any_value(f.total), max(r.score) + any_value(f.te - f.ts) from r join f on f.tid = r.tid and f.qid = r.qid and f.seen = r.k and f.ts - r.te between 0 and 100000 group by f.tid, f.qid, f.id, f.te)
+select tid, qid, cast(max(score) filter (k = total) as bigint) as score from r group by tid, qid""", recursive=True)
+def tiling_score_1d(s, d):
+    h = v.hit(s, d).groupBy("tid", "qid", "ts", "te").agg(F.bool_or(F.expr("matches % 97 = 5")).alias("forced"))
+    return chain.best_tiling(h, ["tid", "qid"], 100_000)
+
+
+@query(JOINED + """, p as (select seq, chr, '+' as strand, pos, start, "end" from j union all select seq, chr, '-', -pos, start, "end" from j),
+r as (select seq, chr, strand, pos, "end", cast(1 as bigint) as n from p union all select p.seq, p.chr, p.strand, p.pos, p."end", max(r.n) + 1 from r join p on p.seq = r.seq and p.chr = r.chr and p.strand = r.strand and p.pos > r.pos and p.start >= r."end" group by p.seq, p.chr, p.strand, p.pos, p."end", p.start),
+c as (select seq, chr, strand, max(n) as n from r group by all), k as (select seq, list(n order by n desc, chr desc, strand desc) as n, list(chr order by n desc, chr desc, strand desc) as c, list(strand order by n desc, chr desc, strand desc) as s from c group by seq),
+x as (select seq, c[1] as c1, s[1] as s1, case when n[1] > n[2] then 'assigned' when c[1] = c[2] and (len(n) < 3 or n[1] > n[3]) then 'undirected' else 'unreliable' end as verdict from k)
+select seq, verdict, case when verdict <> 'unreliable' then c1 end as chr, case verdict when 'assigned' then s1 when 'undirected' then '.' end as strand from x""", recursive=True)
+def marker_assignment(s, d):
+    j = v.marker(s, d).join(v.marker_map(s, d), "marker").select("seq", "chr", F.col("pos").cast("long").alias("pos"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    return placing.assigned(j)
+
+
+def _placed(s, d):
+    """Each sequence on the chromosome with most of its markers, as a span of map positions."""
+    best = chr_support_rank(s, d).select(F.col("seq").alias("b_seq"), F.col("best_chr"))
+    x = marker_range(s, d).join(best, F.expr("seq = b_seq and chr = best_chr"))
+    return x.selectExpr("chr", "seq", "cast(least as bigint) as start", "cast(most as bigint) as stop", "n as weight", "seq % 1000 as length", "seq % 101 = 0 as forced")
+
+
+@query(JOINED + """, g as (select seq, chr, min(pos) as a, max(pos) as b, count(*) as w from j group by all), t as (select * from (select *, row_number() over (partition by seq order by w desc, chr) as place from g) where place = 1),
+o as (select *, row_number() over (partition by chr order by b, a, seq) as n from t), p as (select o.*, (select count(*) from o x where x.chr = o.chr and x.b < o.a) as before from o),
+r(chr, n, best) as (select distinct chr, cast(0 as bigint), [cast(0 as bigint)] from o union all select r.chr, p.n, list_append(r.best, greatest(r.best[p.n], r.best[p.before + 1] + p.w)) from r join p on p.chr = r.chr and p.n = r.n + 1)
+select chr, max(best[n + 1]) as score from r group by chr""", recursive=True)
+def marker_network_score(s, d):
+    x = _placed(s, d).withColumn("forced", F.lit(False))
+    none = x.select(F.col("seq").alias("a"), F.col("seq").alias("b")).where("false")
+    path = placing.place(x, none).select(F.col("seq").alias("p_seq"), F.col("chr").alias("p_chr"))
+    return x.join(path, F.expr("seq = p_seq and chr = p_chr")).groupBy("chr").agg(F.sum("weight").alias("score"))
+
+
+@query()
+def two_haplotype_solve(s, d):
+    """Excluded: sequences whose ids follow one another; mates: those 500 apart. Some are forced."""
+    x = _placed(s, d)
+    return placing.two_haplotypes(x, x.select(F.col("seq").alias("a"), (F.col("seq") + 1).alias("b")), x.select(F.col("seq").alias("a"), (F.col("seq") + 500).alias("b")))
+
+
+@query(""", g as (select obj, part, obj_start as s, obj_end as e from v_agp where ctype = 'N'), h as (select distinct tid, ts, ts + 40 * (te - ts) as te, qs, qs + 39 * (qe - qs) as qe, strand, matches % 2 = 0 as matched from v_hit),
+m as (select obj, part, matched, count(*) as n, min(struct_pack(ts, te, qs, qe, strand)) as h, any_value(s) as s, any_value(e) as e from g join h on tid = obj and ts <= s and te >= e group by all),
+c as (select obj, part, s, e, h, case when matched then 'matched' else 'unmatched' end as kind from (select *, row_number() over (partition by obj, part order by matched desc) as place from m) where place = 1 and n = 1),
+x as (select *, least(case when h.strand = '+' then h.qs + s - h.ts else h.qs + h.te - e end, 200000) as a, greatest(case when h.strand = '+' then h.qe - (h.te - e) else h.qe - (s - h.ts) end, 0) as b from c)
+select obj, part, kind, cast(case when h.qs = h.qe then h.qs when a <= b then a when (a + b) // 2 between h.qs and h.qe then (a + b) // 2 end as bigint) as start, cast(case when h.qs = h.qe then h.qs when a <= b then b when (a + b) // 2 between h.qs and h.qe then (a + b) // 2 end as bigint) as stop from x""")
+def gap_mate_project(s, d):
+    """Where gaps lie in the mate: by the only matched range that holds the gap, else the only unmatched one."""
+    g = agp(s, d).where("ctype = 'N'").select("obj", "part", F.col("obj_start").alias("s"), F.col("obj_end").alias("e"))
+    h = v.hit(s, d).selectExpr("tid", "ts", "ts + 40 * (te - ts) as te", "qs", "qs + 39 * (qe - qs) as qe", "strand", "matches % 2 = 0 as matched").distinct()
+    m = g.join(h, F.expr("tid = obj and ts <= s and te >= e")).groupBy("obj", "part", "s", "e", "matched").agg(F.count("*").alias("n"), F.min(F.struct("ts", "te", "qs", "qe", "strand")).alias("h"))
+    c = m.groupBy("obj", "part", "s", "e").agg(F.max_by(F.struct("n", "h", "matched"), F.col("matched")).alias("x")).where("x.n = 1").select("obj", "part", "s", "e", "x.matched", "x.h.*")
+    at = placing.projected(F.col("s"), F.col("e"), F.col("ts"), F.col("te"), F.col("qs"), F.col("qe"), F.col("strand"), F.lit(200_000))
+    return c.withColumn("at", at).select("obj", "part", F.when(F.col("matched"), "matched").otherwise("unmatched").alias("kind"), "at.start", "at.stop")
+
+
+@query(f""", c as (select seq_id, i as phase, substr(b, i + 1) as b from (select seq_id, substr(translate(seq, 'DEFHIJKLM ', 'ACGTACGTAT'), 1 + seq_id % 50, 40) as b from v_seq), unnest(range(3)) as t(i)),
+p as (select seq_id, phase, list_transform(range(0, length(b) - 2, 3), lambda i: substr(b, i + 1, 3)) as c from c), ok as (select seq_id, min(phase) as phase from p where c[1] = 'ATG' and len(list_filter(c[:-2], lambda x: x in ('TAA', 'TAG', 'TGA'))) = 0 group by seq_id)
+select v_seq.seq_id, cast(phase as bigint) as phase, phase is null as pseudo from v_seq left join ok using (seq_id)""")
+def cds_frame(s, d):
+    """The first phase whose reading starts with ATG and stops nowhere but at its end; without one, a pseudogene."""
+    b = v.seq(s, d).select("seq_id", F.expr("substring(translate(seq, 'DEFHIJKLM ', 'ACGTACGTAT'), cast(1 + seq_id % 50 as int), 40) as b"))
+    return b.select("seq_id", fn.open_phase(F.col("b")).cast("long").alias("phase")).withColumn("pseudo", F.col("phase").isNull())

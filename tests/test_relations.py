@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from contigua.operators import intervals, matching, signals
+from contigua.operators import chain, intervals, matching, placing, signals
 
 
 def test_greedy_matching_takes_what_the_global_order_takes(spark):
@@ -52,3 +53,55 @@ def test_regions_grow_to_the_fix_point(spark):
         want.add((k, i, a, b))
     got = intervals.grow_regions(spark.createDataFrame(regions, "k int, id int, a int, b int"), spark.createDataFrame(genes, "k int, start int, end int"), "k")
     assert {tuple(x) for x in got.collect()} == want
+
+
+def test_heaviest_sets_and_exclusions():
+    r = random.Random(4)
+    for _ in range(60):
+        items = [(a, a + r.randrange(12), r.randrange(1, 9), i, False) for i, a in enumerate(r.randrange(40) for _ in range(9))]
+        fits = lambda xs: all(x[1] < y[0] for x, y in zip(xs, xs[1:], strict=False))
+        sets = [[x for i, x in enumerate(items) if m >> i & 1] for m in range(1 << len(items))]
+        want = max(sum(x[2] for x in xs) for xs in sets if fits(sorted(xs)))
+        got = placing.heaviest(items)
+        assert fits(sorted(items[i] for i in got)) and sum(items[i][2] for i in got) == want
+        pairs = [(r.randrange(9), r.randrange(9)) for _ in range(8)]
+        path = placing.without_excluded(items, {i: r.randrange(4) for i in range(9)}, pairs)
+        assert not any(a != b and a in path and b in path for a, b in pairs) and fits([items[i] for i in path])
+    forced = [(0, 10, 1, "a", True), (5, 15, 99, "b", False), (8, 12, 9, "c", True), (11, 20, 2, "d", False)]
+    assert placing.heaviest(forced) == ["a", "d"] and placing.heaviest([]) == []
+    # The longer of an excluded pair stays, or the forced one.
+    two = [(0, 1, 1, "a", False), (2, 3, 1, "b", False)]
+    assert placing.without_excluded(two, {"a": 1, "b": 2}, [("b", "a")]) == ["b"]
+    assert placing.without_excluded([(*two[0][:4], True), two[1]], {"a": 1, "b": 2}, [("b", "a")]) == ["a"]
+
+
+def test_two_haplotypes_share_no_sequence_and_no_mates(spark):
+    rows = [("c", i, 3 * i, 3 * i + (5 if i % 3 else 1), 1 + i % 4, i, i == 7) for i in range(30)]
+    seqs = spark.createDataFrame(rows, "chr string, seq long, start long, stop long, weight long, length long, forced boolean")
+    pairs, mates = (spark.createDataFrame([(i, i + k) for i in range(30)], "a long, b long") for k in (2, 5))
+    got = placing.two_haplotypes(seqs, pairs, mates).collect()
+    one, two = ({r.seq for r in got if r.haplotype == h} for h in (1, 2))
+    assert 7 in one and two and not one & two and not any(a - b in (5, -5) for a in one for b in two)
+    for path in (one, two):
+        assert not any(a - b == 2 for a in path for b in path)
+        ordered = [rows[i] for i in sorted(path)]
+        assert all(x[3] < y[2] for x, y in zip(ordered, ordered[1:], strict=False))
+    assert placing.two_haplotypes(seqs.where("false"), pairs, mates).count() == 0
+
+
+def test_tiling_takes_every_forced_hit(spark):
+    rows = [(1, 0, 10, False), (1, 10, 30, False), (1, 12, 20, True), (1, 25, 40, False), (2, 0, 9, True), (2, 5, 9, True), (3, 0, 5, False), (3, 50, 59, False)]
+    got = chain.best_tiling(spark.createDataFrame(rows, "t int, ts long, te long, forced boolean"), ["t"], 10)
+    assert {r.t: r.score for r in got.collect()} == {1: 33, 2: None, 3: 9}
+
+
+def test_tolerant_runs_compare_with_the_first_value(spark):
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate([5, 6, 4, 7, 8, 9])], "k int, i long, x long")
+    assert [tuple(r) for r in intervals.tolerant_runs(df, "k", "i", "x", 1).orderBy("run").collect()] == [(1, 1, 5, 3, 0, 2), (1, 2, 7, 2, 3, 4), (1, 3, 9, 1, 5, 5)]
+
+
+def test_projection_keeps_both_distances(spark):
+    rows = [(10, 20, 0, 100, 200, 300, "+"), (10, 20, 0, 100, 200, 300, "-"), (10, 20, 0, 100, 200, 200, "+"), (50, 50, 0, 100, 200, 220, "+"), (10, 20, 0, 100, 200, 280, "+")]
+    at = placing.projected(*[F.col(c) for c in "s e fs fe ts te d".split()], F.lit(1000))
+    got = spark.createDataFrame(rows, "s long, e long, fs long, fe long, ts long, te long, d string").select(at.alias("x")).collect()
+    assert [r.x and tuple(r.x) for r in got] == [(210, 220), (280, 290), (200, 200), (210, 210), (205, 205)]
