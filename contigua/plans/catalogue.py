@@ -593,7 +593,7 @@ def shared_markers(s, d):
 # Placing
 
 
-@query(", b as (select chr, start // 3600 as bin, count(*) as depth from v_gene group by all), o as (select *, row_number() over (partition by chr order by bin) as n from b), r(chr, n, bin, first, run) as (select chr, n, bin, depth, cast(1 as bigint) from o where n = 1 union all select o.chr, o.n, o.bin, case when abs(o.depth - r.first) <= 1 then r.first else o.depth end, case when abs(o.depth - r.first) <= 1 then r.run else r.run + 1 end from r join o on o.chr = r.chr and o.n = r.n + 1) select chr, run, first, count(*) as n, min(bin) as start, max(bin) as stop from r group by chr, run, first", recursive=True)
+@query(", b as (select chr, start // 3600 as bin, count(*) as depth from v_gene group by all), o as materialized (select *, row_number() over (partition by chr order by bin) as n from b), r(chr, n, bin, first, run) as (select chr, n, bin, depth, cast(1 as bigint) from o where n = 1 union all select o.chr, o.n, o.bin, case when abs(o.depth - r.first) <= 1 then r.first else o.depth end, case when abs(o.depth - r.first) <= 1 then r.run else r.run + 1 end from r join o on o.chr = r.chr and o.n = r.n + 1) select chr, run, first, count(*) as n, min(bin) as start, max(bin) as stop from r group by chr, run, first", recursive=True)
 def rle_tolerant(s, d):
     b = v.gene(s, d).groupBy("chr", F.expr("start div 3600 as bin")).agg(F.count("*").alias("depth"))
     return intervals.tolerant_runs(b, "chr", "bin", "depth", 1)
@@ -625,8 +625,8 @@ def _placed(s, d):
 
 
 @query(JOINED + """, g as (select seq, chr, min(pos) as a, max(pos) as b, count(*) as w from j group by all), t as (select * from (select *, row_number() over (partition by seq order by w desc, chr) as place from g) where place = 1),
-o as (select *, row_number() over (partition by chr order by b, a, seq) as n from t), p as (select o.*, (select count(*) from o x where x.chr = o.chr and x.b < o.a) as before from o),
-r(chr, n, best) as (select distinct chr, cast(0 as bigint), [cast(0 as bigint)] from o union all select r.chr, p.n, list_append(r.best, greatest(r.best[p.n], r.best[p.before + 1] + p.w)) from r join p on p.chr = r.chr and p.n = r.n + 1)
+o as (select *, row_number() over (partition by chr order by b, a, seq) as n from t), p as materialized (select o.*, (select count(*) from o x where x.chr = o.chr and x.b < o.a) as before from o),
+r(chr, n, best) as (select distinct chr, cast(0 as bigint), [cast(0 as bigint)] from p union all select r.chr, p.n, list_append(r.best, greatest(r.best[p.n], r.best[p.before + 1] + p.w)) from r join p on p.chr = r.chr and p.n = r.n + 1)
 select chr, max(best[n + 1]) as score from r group by chr""", recursive=True)
 def marker_network_score(s, d):
     x = _placed(s, d).withColumn("forced", F.lit(False))
