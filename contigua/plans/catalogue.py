@@ -380,6 +380,35 @@ def imbalance_unpivot(s, d):
     return flags.unpivot("locus", ["more_h1", "more_h2", "only_h1", "only_h2"], "flag", "here").where("here").select("locus", "flag")
 
 
+PAIRED = """, f as (select chr, gene, kind, cast(json_extract_string(props, '$.k') as bigint) as k from v_gene), n as (select chr, kind, k, count(*) as n from f group by all), e as (select kind, count(*) as n_kind from f group by 1),
+c as (select f.chr, f.gene, f.kind, coalesce(a.n, 0) as h1, coalesce(b.n, 0) as h2, n_kind from f left join n a on a.chr = f.chr - f.chr % 2 and a.kind is not distinct from f.kind and a.k is not distinct from f.k
+  left join n b on b.chr = f.chr - f.chr % 2 + 1 and b.kind is not distinct from f.kind and b.k is not distinct from f.k left join e on e.kind is not distinct from f.kind) """
+
+
+def _paired_copies(s, d):
+    """Each gene with its copies (same kind and attribute) on both chromosomes of its pair, u and u xor 1: h1 on the even one, h2 on the odd one."""
+    f = v.gene(s, d).select("chr", "gene", "kind", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    n = f.groupBy("chr", "kind", "k").agg(F.count("*").alias("n"))
+    kinds = f.groupBy(F.col("kind").alias("e_kind")).agg(F.count("*").alias("n_kind"))
+    out = f
+    for h, chr_of in (("h1", "chr - chr % 2"), ("h2", "chr - chr % 2 + 1")):
+        c = n.select(F.col("chr").alias("c_chr"), F.col("kind").alias("c_kind"), F.col("k").alias("c_k"), F.col("n").alias(h))
+        out = out.join(c, F.expr(f"c_chr = {chr_of} and c_kind <=> kind and c_k <=> k"), "left").drop("c_chr", "c_kind", "c_k")
+    # At most one row for each kind.
+    return out.join(F.broadcast(kinds), F.expr("e_kind <=> kind"), "left").select("chr", "gene", "kind", F.coalesce("h1", F.lit(0)).alias("h1"), F.coalesce("h2", F.lit(0)).alias("h2"), "n_kind")
+
+
+@query(PAIRED + "select chr, gene, kind, h1, h2, case when h1 > 0 then round(h2 / h1, 6) end as ratio, n_kind from c")
+def copy_number_pairs(s, d):
+    return _paired_copies(s, d).select("chr", "gene", "kind", "h1", "h2", F.expr("case when h1 > 0 then round(h2 / h1, 6) end").alias("ratio"), "n_kind")
+
+
+@query(PAIRED + ", u as (select chr, gene, unnest(['more_h1', 'more_h2', 'only_h1', 'only_h2']) as flag, unnest([h1 > h2, h2 > h1, h1 > 0 and h2 = 0, h2 > 0 and h1 = 0]) as here from c) select chr, gene, flag from u where here")
+def imbalance_pairs(s, d):
+    flags = _paired_copies(s, d).selectExpr("chr", "gene", "h1 > h2 as more_h1", "h2 > h1 as more_h2", "h1 > 0 and h2 = 0 as only_h1", "h2 > 0 and h1 = 0 as only_h2")
+    return flags.unpivot(["chr", "gene"], ["more_h1", "more_h2", "only_h1", "only_h2"], "flag", "here").where("here").select("chr", "gene", "flag")
+
+
 HOT = """, f as (select chr, start, "end", gene, case when ("end" - start) % 5 = 0 then 1 else 0 end as off from v_gene),
 w as (select chr, start, sum(off) over x as n, lead("end", 9) over (partition by chr order by start, "end", gene) as stop from f window x as (partition by chr order by start, "end", gene rows between current row and 9 following)) """
 
@@ -532,6 +561,15 @@ def gene_region_fixpoint(s, d):
     return intervals.grow_regions(g.where("gene % 10 = 0").selectExpr("chr", "gene as id", "start as a", "start + 3600 as b"), g.select("chr", "start", "end"), "chr")
 
 
+@query(""", r as (select chr, gene as id, start as a, start + 3600 as b from v_gene
+union select r.chr, r.id, least(r.a, min(g.start)), greatest(r.b, max(g."end")) from r join v_gene g on g.chr = r.chr and g.start < r.b and g."end" > r.a group by r.chr, r.id, r.a, r.b)
+select chr, id, cast(min(a) as bigint) as a, cast(max(b) as bigint) as b from r group by chr, id""", recursive=True)
+def gene_region_every(s, d):
+    """A region at every gene."""
+    g = v.gene(s, d)
+    return intervals.grow_regions(g.selectExpr("chr", "gene as id", "start as a", "start + 3600 as b"), g.select("chr", "start", "end"), "chr")
+
+
 @query(""", g as (select *, chr % 2 = 0 as plus from v_gene), m as (select chr, min(start) + 50000 as lo, max("end") - 50000 as hi from g group by chr),
 u as (select chr, gene, plus, 'left' as side, start as a, least("end", lo) as b from g join m using (chr) union all select chr, gene, plus, 'right', greatest(start, hi), "end" from g join m using (chr))
 select chr, gene, case when plus = (side = 'left') then 'five_prime' else 'three_prime' end as kind, a as start, b as stop from u where a < b""")
