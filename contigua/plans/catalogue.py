@@ -702,3 +702,12 @@ def cds_frame(s, d):
     """The first phase whose reading starts with ATG and stops nowhere but at its end; without one, a pseudogene."""
     b = v.seq(s, d).select("seq_id", F.expr("substring(translate(seq, 'DEFHIJKLM ', 'ACGTACGTAT'), cast(1 + seq_id % 50 as int), 40) as b"))
     return b.select("seq_id", fn.open_phase(F.col("b")).cast("long").alias("phase")).withColumn("pseudo", F.col("phase").isNull())
+
+
+@query(""", c as (select seq_id, i as phase, substr(b, i + 1) as b from (select seq_id, translate(seq, 'DEFHIJKLM ', 'ACGTACGTAT') as b from v_seq), unnest(range(3)) as t(i)),
+p as (select seq_id, phase, list_transform(range(0, length(b) - 2, 3), lambda i: substr(b, i + 1, 3)) as c from c where starts_with(b, 'ATG')), ok as (select seq_id, min(phase) as phase from p where len(list_filter(c[:-2], lambda x: x in ('TAA', 'TAG', 'TGA'))) = 0 group by seq_id)
+select v_seq.seq_id, cast(phase as bigint) as phase, phase is null as pseudo from v_seq left join ok using (seq_id)""")
+def cds_frame_whole(s, d):
+    """As cds_frame, over the whole of each sequence from its first letter on."""
+    b = v.seq(s, d).select("seq_id", F.expr("translate(seq, 'DEFHIJKLM ', 'ACGTACGTAT') as b"))
+    return b.select("seq_id", fn.open_phase(F.col("b")).cast("long").alias("phase")).withColumn("pseudo", F.col("phase").isNull())

@@ -36,3 +36,11 @@ def test_a_region_at_every_gene(spark):
         want.add((g.chr, g.gene, a, b))
     got = catalogue.gene_region_every(spark, SF).collect()
     assert len(got) == 1000 and {tuple(r) for r in got} == want
+
+
+def test_frames_of_whole_sequences(spark, tmp_path):
+    open_to_the_end = "ATG" + "GCC" * 400 + "TAA"
+    texts = [open_to_the_end, open_to_the_end[:60] + "TAG" + open_to_the_end[60:], "G" + open_to_the_end, "CC" + open_to_the_end[:-3], "GCC" * 20, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.seq_id: (r.phase, r.pseudo) for r in catalogue.cds_frame_whole(spark, str(tmp_path)).collect()}
+    assert got == {0: (0, False), 1: (None, True), 2: (1, False), 3: (2, False), 4: (None, True), 5: (None, True), 6: (None, True)}
