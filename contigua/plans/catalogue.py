@@ -110,6 +110,30 @@ def structure_and_liftover(s, d):
     return structure.liftover(v.feat(s, d), agp(s, d)).groupBy("obj").agg(F.count("*").alias("n_features"), F.min("start").alias("first_start"), F.max("end").alias("last_stop"))
 
 
+LIFT_ALL = v.FEATURE_SQL + LIFT.replace("v_feat ", "v_feature ")
+
+
+@query(LIFT_ALL + "select id, obj, a as start, a + n as stop, strand from lift")
+def liftover_features_all(s, d):
+    return structure.liftover(v.feature(s, d), agp(s, d)).withColumnRenamed("end", "stop")
+
+
+@query(v.FEATURE_SQL + ' select id from v_feature f where not exists (select 1 from v_agp a where a.comp = f.comp and f."end" <= a.comp_end)')
+def liftover_dropped_all(s, d):
+    return structure.dropped(v.feature(s, d), agp(s, d)).select("id")
+
+
+@query(LIFT_ALL + "select id, obj, a as start, id || '.' || row_number() over (partition by id order by obj, a, strand) as name from lift")
+def liftover_multi_suffix_all(s, d):
+    w = Window.partitionBy("id").orderBy("obj", "start", "strand")
+    return structure.liftover(v.feature(s, d), agp(s, d)).select("id", "obj", "start", F.concat("id", F.lit("."), F.row_number().over(w)).alias("name"))
+
+
+@query(LIFT_ALL + "select obj, count(*) as n_features, cast(min(a) as bigint) as first_start, cast(max(a + n) as bigint) as last_stop from lift group by obj")
+def structure_and_liftover_all(s, d):
+    return structure.liftover(v.feature(s, d), agp(s, d)).groupBy("obj").agg(F.count("*").alias("n_features"), F.min("start").alias("first_start"), F.max("end").alias("last_stop"))
+
+
 # Statistics
 
 N_SQL = """, c as (select len, sum(len) over (order by len desc, obj, ord rows unbounded preceding) as cum, row_number() over (order by len desc, obj, ord) as r, sum(len) over () as total from v_comp)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contigua.functions import ascii_upper
-from contigua.session import table
+from contigua.session import cut, table
 
 ROW = "l_partkey l_suppkey l_shipdate l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus".split()
 STRAND = "case when l_linestatus = 'F' then '+' else '-' end"
@@ -22,6 +22,22 @@ def feat(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").selectExpr("o_orderkey as id", f"o_custkey % 200 + 1 as comp", "(o_orderkey * 37) % 20000 as start", "(o_orderkey * 37) % 20000 + 50 * (o_orderkey % 7 + 1) as end", "case when o_orderkey % 3 = 0 then '-' else '+' end as f_strand")
 
 
+def feature(spark: SparkSession, d: str) -> DataFrame:
+    """Features in component space, one for each lineitem row; the id is its number in the order of whole rows.
+
+    Numbers come from a range-partitioned table and the counts of its partitions, so rows are never ranked in one task.
+    """
+    order = ["l_orderkey", "l_linenumber", *ROW]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(table(spark, d, "lineitem").select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("l_orderkey", "l_linenumber", "l_partkey", F.monotonically_increasing_id().alias("at")), "features")
+    part = F.shiftrightunsigned("at", 33)
+    # One row for each partition.
+    sums = rows.groupBy(part.alias("p")).agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = sums.select("p", "first", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    x = rows.join(F.broadcast(before), part == F.col("p"))
+    return x.selectExpr("before + at - first + 1 as id", "l_partkey as comp", "(l_orderkey * 37) % 20000 as start", "(l_orderkey * 37) % 20000 + 50 * l_linenumber as end", "case when l_orderkey % 3 = 0 then '-' else '+' end as f_strand")
+
+
 def hit(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "lineitem").selectExpr(
         "l_suppkey as tid", "l_partkey % 25 as qid", "100 * datediff(cast(l_shipdate as date), date '1992-01-01') as ts", "cast(10 * l_quantity as bigint) as n", "cast(floor(l_extendedprice) as bigint) as qs",
@@ -61,3 +77,6 @@ v_seq as (select doc_id as seq_id, translate(coalesce(text, ''), 'abcdefghijklmn
 v_map as (select p_partkey % 19 as chr, p_partkey as pos, p_partkey as marker from part where p_partkey % 10 <> 3),
 v_marker as (select l_orderkey as seq, l_linenumber * 1000 + l_suppkey % 700 as start, l_linenumber * 1000 + l_suppkey % 700 + 100 as "end", l_partkey as marker from lineitem)
 """
+
+#: ``feature`` for the oracle, for queries that use it.
+FEATURE_SQL = f""", v_feature as (select row_number() over (order by l_orderkey, l_linenumber, {', '.join(ROW)}) as id, l_partkey as comp, (l_orderkey * 37) % 20000 as start, (l_orderkey * 37) % 20000 + 50 * l_linenumber as "end", case when l_orderkey % 3 = 0 then '-' else '+' end as f_strand from lineitem)"""

@@ -44,3 +44,11 @@ def test_frames_of_whole_sequences(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.seq_id: (r.phase, r.pseudo) for r in catalogue.cds_frame_whole(spark, str(tmp_path)).collect()}
     assert got == {0: (0, False), 1: (None, True), 2: (1, False), 3: (2, False), 4: (None, True), 5: (None, True), 6: (None, True)}
+
+
+def test_features_of_every_row_reach_every_component(spark):
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet")
+    got = v.feature(spark, SF).collect()
+    assert sorted(r.id for r in got) == list(range(1, rows.count() + 1))
+    assert {r.comp for r in got} == {r.l_partkey for r in rows.select("l_partkey").distinct().collect()}
+    assert all(r.end - r.start in {50 * n for n in range(1, 8)} for r in got)
