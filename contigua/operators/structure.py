@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from contigua.operators import intervals
+
 
 def build(components: DataFrame, gap: int = 1000) -> DataFrame:
     """Structure rows from (obj, ord, comp, len, strand): running offsets, a gap before each component but the first."""
@@ -22,6 +24,19 @@ def invert(structure: DataFrame) -> DataFrame:
     return structure.where("ctype = 'W'").select(F.col("comp").alias("obj"), F.row_number().over(w).alias("part"), F.col("comp_start").alias("obj_start"), F.col("comp_end").alias("obj_end"), F.col("obj").alias("comp"), F.col("obj_start").alias("comp_start"), F.col("obj_end").alias("comp_end"), "strand")
 
 
+def invert_filled(structure: DataFrame, lengths: DataFrame) -> DataFrame:
+    """As ``invert``, with what no placement covers of each component (comp, len) filled by the component itself.
+
+    A component without any placement comes as itself whole.
+    """
+    placed = invert(structure)
+    used = intervals.merge(placed.select("obj", F.col("obj_start").alias("start"), F.col("obj_end").alias("end")), "obj")
+    free = intervals.complement(used, "obj", lengths.select(F.col("comp").alias("obj"), "len"))
+    own = free.select("obj", F.col("free_start").alias("obj_start"), F.col("free_end").alias("obj_end"), F.col("obj").alias("comp"), F.col("free_start").alias("comp_start"), F.col("free_end").alias("comp_end"), F.lit("+").alias("strand"))
+    w = Window.partitionBy("obj").orderBy("obj_start", "comp", "comp_start", "obj_end")
+    return placed.drop("part").unionByName(own).select("obj", F.row_number().over(w).alias("part"), "obj_start", "obj_end", "comp", "comp_start", "comp_end", "strand")
+
+
 def compose(structure: DataFrame, child: DataFrame) -> DataFrame:
     """Structure in terms of what its components are made of: (comp, c_start, c_end, sub, s_start, s_end, s_strand)."""
     lo, hi = F.greatest("comp_start", "c_start"), F.least("comp_end", "c_end")

@@ -71,6 +71,17 @@ def agp_invert(s, d):
     return structure.invert(agp(s, d))
 
 
+@query(""", i as (select comp as obj, comp_start as obj_start, comp_end as obj_end, obj as comp, obj_start as comp_start, obj_end as comp_end, strand from v_agp where ctype = 'W'),
+l as (select p_partkey as obj, max(m) as len from part, (select max(len) as m from v_comp) group by 1), u as (select obj, max(obj_end) as reach from i group by obj),
+a as (select * from i union all select l.obj, coalesce(reach, 0), len, l.obj, coalesce(reach, 0), len, '+' from l left join u using (obj) where coalesce(reach, 0) < len)
+select obj, row_number() over (partition by obj order by obj_start, comp, comp_start, obj_end) as part, obj_start, obj_end, comp, comp_start, comp_end, strand from a""")
+def agp_invert_filled(s, d):
+    """Every component as long as the longest placement of any; placements begin at 0, so only ends are free."""
+    longest = v.comp(s, d).agg(F.max("len").alias("len"))  # one row
+    lengths = table(s, d, "part").select(F.col("p_partkey").alias("comp")).crossJoin(F.broadcast(longest))
+    return structure.invert_filled(agp(s, d), lengths)
+
+
 @query(""", child as (select p_partkey as comp, h * 25000 as c_start, h * 25000 + 25000 as c_end, p_partkey * 2 + h as sub, 0 as s_start, 25000 as s_end, case when h = 0 then '+' else '-' end as s_strand from part, (values (0), (1)) t(h)),
 j as (select *, greatest(comp_start, c_start) as lo, least(comp_end, c_end) as hi from v_agp join child using (comp) where ctype = 'W' and greatest(comp_start, c_start) < least(comp_end, c_end)),
 k as (select obj, case when strand = '+' then obj_start + lo - comp_start else obj_start + comp_end - hi end as a, hi - lo as n, sub, case when s_strand = '+' then s_start + lo - c_start else s_end - (hi - c_start) end as b, case when strand = s_strand then '+' else '-' end as strand from j)

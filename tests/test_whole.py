@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+from contigua.operators import structure
 from contigua.plans import catalogue
 from contigua.plans import views as v
 
@@ -52,3 +53,14 @@ def test_features_of_every_row_reach_every_component(spark):
     assert sorted(r.id for r in got) == list(range(1, rows.count() + 1))
     assert {r.comp for r in got} == {r.l_partkey for r in rows.select("l_partkey").distinct().collect()}
     assert all(r.end - r.start in {50 * n for n in range(1, 8)} for r in got)
+
+
+def test_inversion_fills_what_no_placement_covers(spark):
+    rows = [("o", "W", 1, 0, 30, "1", 20, 50, "-"), ("o", "N", 2, 30, 40, None, None, None, None), ("o", "W", 3, 40, 50, "1", 70, 80, "+"), ("o", "W", 5, 60, 65, "2", 0, 5, "+")]
+    agp = spark.createDataFrame(rows, "obj string, ctype string, part long, obj_start long, obj_end long, comp string, comp_start long, comp_end long, strand string")
+    lengths = spark.createDataFrame([("1", 100), ("2", 5), ("3", 7)], "comp string, len long")
+    got = sorted(tuple(r) for r in structure.invert_filled(agp, lengths).collect())
+    assert got == [
+        ("1", 1, 0, 20, "1", 0, 20, "+"), ("1", 2, 20, 50, "o", 0, 30, "-"), ("1", 3, 50, 70, "1", 50, 70, "+"), ("1", 4, 70, 80, "o", 40, 50, "+"), ("1", 5, 80, 100, "1", 80, 100, "+"),
+        ("2", 1, 0, 5, "o", 60, 65, "+"), ("3", 1, 0, 7, "3", 0, 7, "+"),
+    ]
