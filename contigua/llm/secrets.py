@@ -105,7 +105,14 @@ def trigram_query(expression: str) -> list[frozenset[str]] | None:
         if len(clauses) * len(f) > MOST_CLAUSES:
             break  # fewer conditions: more candidates, none lost
         clauses = {a | b for a, b in product(clauses, f)}
-    return sorted(clauses, key=sorted)
+    # Where even the shortest factor has too many clauses there's no condition: a full scan.
+    return None if clauses == {frozenset()} else sorted(clauses, key=sorted)
+
+
+def is_run(expression: str) -> bool:
+    """Whether it is one character or class, once or more, and nothing else."""
+    items = sre_parser.parse(expression)
+    return len(items) == 1 and expression.endswith("+") and items[0][0] is sre.MAX_REPEAT and items[0][1][0] == 1 and len(items[0][1][2]) == 1 and items[0][1][2][0][0] in (sre.IN, sre.LITERAL)
 
 
 def present(text: Column, trigrams: list[str]) -> Column:
@@ -181,7 +188,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for k, rule in enumerate(rules.values()):
         expression, group, least = rule
         # A full scan looks for a run that is long enough first; a match of it is there exactly if one stays.
-        quick = expression[:-1] + f"{{{least},}}" if k not in queries and not group and expression.endswith("+") else expression
+        quick = expression[:-1] + f"{{{least},}}" if k not in queries and not group and is_run(expression) else expression
         maybe = text.rlike(quick) if k not in queries else (F.coalesce(F.col("rules"), F.lit(0)).bitwiseAND(1 << k) != 0) & text.rlike(expression)
         longer = (quick, group, least)
         each.append(F.when(maybe, spans(text, longer, k)).otherwise(none))

@@ -1,7 +1,9 @@
 """Queries on the whole of their table: every row, every pair, whole sequences."""
 
+import re
 from collections import Counter
 
+from contigua.llm import secrets
 from contigua.operators import structure
 from contigua.plans import catalogue
 from contigua.plans import views as v
@@ -64,3 +66,10 @@ def test_inversion_fills_what_no_placement_covers(spark):
         ("1", 1, 0, 20, "1", 0, 20, "+"), ("1", 2, 20, 50, "o", 0, 30, "-"), ("1", 3, 50, 70, "1", 50, 70, "+"), ("1", 4, 70, 80, "o", 40, 50, "+"), ("1", 5, 80, 100, "1", 80, 100, "+"),
         ("2", 1, 0, 5, "o", 60, 65, "+"), ("3", 1, 0, 7, "3", 0, 7, "+"),
     ]
+
+
+def test_a_rule_with_too_many_clauses_scans_every_text(spark):
+    rule, texts = r"[a-h][a-h]xy[0-9]+", ["an abxy12 and hhxy7", "none xy1", "gaxy0"]
+    assert secrets.trigram_query(rule) is None
+    rows = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), added={"wide": (rule, 0, 5)}).collect()
+    assert {r.doc_id: r.spans for r in rows} == {i: ",".join(f"wide:{m.start()}:{m.end()}" for m in re.finditer(rule, t) if len(m.group()) >= 5) for i, t in enumerate(texts)}
