@@ -60,3 +60,42 @@ def best_tiling(hits: DataFrame, keys: list[str], limit: int) -> DataFrame:
     end = lambda a: a["ends"]
     done = folded.select(*keys, "all", F.aggregate("xs", start, step, end).alias("ends"))
     return done.select(*keys, F.array_max(F.transform(F.filter("ends", lambda y: y["k"] == F.col("all")), lambda y: y["score"])).alias("score"))
+
+
+def chain_members(hits: DataFrame, keys: list[str], limit: int, weight: str = "matches") -> DataFrame:
+    """The heaviest chain of each group, as ``best_chains`` scores it: score, region (t_start, t_end, q_start, q_end), n and members in order.
+
+    Of equally heavy chains the one with fewer hits, then the one whose hits (ts, qs, te, qe, weight) come first.
+    """
+    item = F.struct("ts", "qs", "te", "qe", F.col(weight).cast("long").alias("w"))
+    folded = hits.where("te > ts and qe > qs").groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("xs"))
+    # Least first: the score is negative, and chains of equal size compare by the places of their hits.
+    none = F.expr("named_struct('loss', 0L, 'n', 0, 'path', cast(array() as array<int>))")
+    empty = F.expr("cast(array() as array<struct<te:bigint,qe:bigint,c:struct<loss:bigint,n:int,path:array<int>>>>)")
+
+    def step(a, x):
+        before = F.filter(a, lambda y: (x["ts"] >= y["te"]) & (x["ts"] - y["te"] <= limit) & (x["qs"] >= y["qe"]) & (x["qs"] - y["qe"] <= limit))
+        best = F.array_min(F.concat(F.array(none), F.transform(before, lambda y: y["c"])))
+        own = F.transform(F.array(best), lambda b: F.struct((b["loss"] - x["w"]).alias("loss"), (b["n"] + 1).alias("n"), F.concat(b["path"], F.array(F.size(a))).alias("path")))[0]
+        return F.concat(a, F.array(F.struct(x["te"].cast("long").alias("te"), x["qe"].cast("long").alias("qe"), own.alias("c"))))
+
+    chain = folded.select(*keys, "xs", F.aggregate("xs", empty, step, lambda a: F.array_min(F.transform(a, lambda y: y["c"]))).alias("c"))
+    members = chain.select(*keys, (-F.col("c.loss")).alias("score"), F.col("c.n").cast("long").alias("n"), F.transform("c.path", lambda i: F.get(F.col("xs"), i)).alias("members"))
+    first, last = F.get("members", F.lit(0)), F.element_at("members", -1)
+    return members.select(*keys, "score", "n", first["ts"].alias("t_start"), last["te"].alias("t_end"), first["qs"].alias("q_start"), last["qe"].alias("q_end"), "members")
+
+
+def marker_members(marks: DataFrame, keys: list[str]) -> DataFrame:
+    """The longest run of each group, as ``most_markers`` counts it, with its markers (pos, start, end) in order; ties go to what comes first."""
+    folded = marks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "start", "end"))).alias("xs"))
+    none = F.expr("named_struct('loss', 0, 'path', cast(array() as array<int>))")
+    empty = F.expr("cast(array() as array<struct<pos:bigint,end:bigint,c:struct<loss:int,path:array<int>>>>)")
+
+    def step(a, x):
+        before = F.filter(a, lambda y: (y["pos"] < x["pos"]) & (x["start"] >= y["end"]))
+        best = F.array_min(F.concat(F.array(none), F.transform(before, lambda y: y["c"])))
+        own = F.transform(F.array(best), lambda b: F.struct((b["loss"] - 1).alias("loss"), F.concat(b["path"], F.array(F.size(a))).alias("path")))[0]
+        return F.concat(a, F.array(F.struct(x["pos"].cast("long").alias("pos"), x["end"].cast("long").alias("end"), own.alias("c"))))
+
+    run = folded.select(*keys, "xs", F.aggregate("xs", empty, step, lambda a: F.array_min(F.transform(a, lambda y: y["c"]))).alias("c"))
+    return run.select(*keys, (-F.col("c.loss")).cast("long").alias("n_markers"), F.transform("c.path", lambda i: F.get(F.col("xs"), i)).alias("members"))

@@ -355,6 +355,13 @@ def marker_lis(s, d):
     return chain.most_markers(j, ["seq"])
 
 
+@query()
+def marker_lis_members(s, d):
+    """The markers of each longest run; their number is ``marker_lis``'s."""
+    j = v.marker(s, d).join(v.marker_map(s, d), "marker").select("seq", F.col("pos").cast("long").alias("pos"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    return chain.marker_members(j, ["seq"]).select("seq", "n_markers", F.posexplode("members").alias("place", "m")).select("seq", "n_markers", "place", "m.*")
+
+
 # Hits
 
 CHAIN = """, h as (select *, row_number() over (order by tid, qid, ts, qs, te, qe, matches) as id from v_hit where te > ts and qe > qs),
@@ -367,6 +374,13 @@ def hit_chain_matches(s, d):
     return chain.best_chains(v.hit(s, d), ["tid", "qid"], 20_000)
 
 
+@query()
+def hit_chain_members(s, d):
+    """The hits of each heaviest chain and its region; its score is ``hit_chain_matches``'s."""
+    c = chain.chain_members(v.hit(s, d), ["tid", "qid"], 20_000)
+    return c.select("tid", "qid", "score", "t_start", "t_end", "q_start", "q_end", F.posexplode("members").alias("place", "m")).select("tid", "qid", "score", "t_start", "t_end", "q_start", "q_end", "place", "m.ts", "m.te", "m.qs", "m.qe", F.col("m.w").alias("matches"))
+
+
 @query(CHAIN.format(w="te - ts", w2="te - b.ts") + "select tid, qid, score from best", recursive=True)
 def hit_chain_span(s, d):
     return chain.best_chains(v.hit(s, d).withColumn("span", F.expr("te - ts")), ["tid", "qid"], 20_000, "span")

@@ -1,10 +1,11 @@
 """Queries on the whole of their table: every row, every pair, whole sequences."""
 
+import random
 import re
 from collections import Counter
 
 from contigua.llm import secrets
-from contigua.operators import structure
+from contigua.operators import chain, structure
 from contigua.plans import catalogue
 from contigua.plans import views as v
 
@@ -73,3 +74,33 @@ def test_a_rule_with_too_many_clauses_scans_every_text(spark):
     assert secrets.trigram_query(rule) is None
     rows = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), added={"wide": (rule, 0, 5)}).collect()
     assert {r.doc_id: r.spans for r in rows} == {i: ",".join(f"wide:{m.start()}:{m.end()}" for m in re.finditer(rule, t) if len(m.group()) >= 5) for i, t in enumerate(texts)}
+
+
+def test_chains_name_their_members(spark):
+    r = random.Random(5)
+    hits = [(k, a, a + r.randrange(1, 9), b, b + r.randrange(1, 9), r.randrange(3)) for k in range(25) for a, b in ((r.randrange(30), r.randrange(30)) for _ in range(8))]
+    marks = [(k, r.randrange(9), a, a + 3) for k in range(25) for a in (r.randrange(30) for _ in range(8))]
+
+    def best(items, fits, loss):
+        sets = [[x for i, x in enumerate(items) if m >> i & 1] for m in range(1, 1 << len(items))]
+        return min((loss(c), c) for c in sets if all(fits(x, y) for x, y in zip(c, c[1:], strict=False)))
+
+    got = {x.k: x for x in chain.chain_members(spark.createDataFrame(hits, "k int, ts long, te long, qs long, qe long, matches long"), ["k"], 10).collect()}
+    for k in range(25):
+        items = sorted((a, c, b, d, w) for h, a, b, c, d, w in hits if h == k)
+        (loss, n), c = best(items, lambda x, y: 0 <= y[0] - x[2] <= 10 and 0 <= y[1] - x[3] <= 10, lambda c: (-sum(x[4] for x in c), len(c)))
+        g = got[k]
+        assert (g.score, g.n, [tuple(x) for x in g.members]) == (-loss, n, c) and (g.t_start, g.q_start, g.t_end, g.q_end) == (*c[0][:2], *c[-1][2:4])
+    runs = {x.k: x for x in chain.marker_members(spark.createDataFrame(marks, "k int, pos long, start long, end long"), ["k"]).collect()}
+    for k in range(25):
+        loss, c = best(sorted(m[1:] for m in marks if m[0] == k), lambda x, y: x[0] < y[0] and y[1] >= x[2], lambda c: -len(c))
+        assert (runs[k].n_markers, [tuple(x) for x in runs[k].members]) == (-loss, c)
+
+
+def test_members_add_up_to_the_scores(spark):
+    got, score = {}, {(r.tid, r.qid): r.score for r in catalogue.hit_chain_matches(spark, SF).collect()}
+    for r in catalogue.hit_chain_members(spark, SF).collect():
+        got[r.tid, r.qid] = got.get((r.tid, r.qid), 0) + r.matches
+    assert got == score
+    n = Counter(r.seq for r in catalogue.marker_lis_members(spark, SF).collect())
+    assert n == {r.seq: r.n_markers for r in catalogue.marker_lis(spark, SF).collect()}
