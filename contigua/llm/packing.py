@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from contigua.session import cut
 
 BUCKETS, BUDGET, GRANULE = 16, 32_768, 8
+#: Different lengths up to which each has a place of its own in the histogram.
+MOST_LENGTHS = 4096
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -71,8 +73,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     """
     lengths = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORDS)).cast("long").alias("n_tokens")), "lengths")
     spark = docs.sparkSession
-    histogram = sorted(lengths.groupBy(on_grid(F.col("n_tokens")).alias("at")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).collect())
-    at, n, t = (np.array([r[i] for r in histogram], np.int64) for i in range(3))
+    one = F.greatest("n_tokens", F.lit(1))
+    sums = [F.count("*").alias("n"), F.sum("n_tokens").alias("t"), F.max(one).alias("most")]
+    histogram = lengths.groupBy(one.alias("at")).agg(*sums).limit(MOST_LENGTHS + 1).collect()
+    if len(histogram) > MOST_LENGTHS:
+        histogram = lengths.groupBy(on_grid(F.col("n_tokens")).alias("at")).agg(*sums).collect()
+    # Of a place on the grid the greatest length there is the boundary.
+    n, t, at = (np.array([r[c] for r in sorted(histogram)], np.int64) for c in ("n", "t", "most"))
     edges = boundaries(at, n, t, buckets)
     if not edges:
         edges = [GRANULE]

@@ -3,8 +3,9 @@
 import random
 import re
 from collections import Counter
+from itertools import combinations
 
-from contigua.llm import secrets
+from contigua.llm import packing, secrets
 from contigua.operators import chain, structure
 from contigua.plans import catalogue
 from contigua.plans import views as v
@@ -104,3 +105,16 @@ def test_members_add_up_to_the_scores(spark):
     assert got == score
     n = Counter(r.seq for r in catalogue.marker_lis_members(spark, SF).collect())
     assert n == {r.seq: r.n_markers for r in catalogue.marker_lis(spark, SF).collect()}
+
+
+def test_packing_has_the_least_padding_of_all_boundaries(spark, monkeypatch):
+    lengths = [9] * 40 + [0, 1, 13, 14, 14, 30, 31, 47, 47, 47]
+    docs = spark.createDataFrame([(i, " ".join(["w"] * n)) for i, n in enumerate(lengths)], "doc_id long, text string")
+    places = sorted({max(n, 1) for n in lengths})
+    least = min(sum(min(e for e in [*x, 47] if e >= n) - n for n in lengths) for k in range(3) for x in combinations(places[:-1], k))
+    rows = packing.pack(docs, buckets=3).collect()
+    assert len(rows) == len(lengths) and sum(r.padding for r in rows) == least
+    # On the grid each boundary is a length that is there.
+    monkeypatch.setattr(packing, "MOST_LENGTHS", 3)
+    rows = packing.pack(docs, buckets=3).collect()
+    assert len(rows) == len(lengths) and all(r.padding >= 0 for r in rows) and {r.bucket_len for r in rows} <= set(places)
