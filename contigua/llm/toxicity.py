@@ -31,10 +31,11 @@ PREFIXES = (4, 5, 6)
 # What a character may stand for besides itself.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "*": "aeiou", "(": "c", "€": "e", "£": "l"}
 _MARKS = re.escape("".join(c for c in LEET if not c.isdigit()))
-_LEET = re.compile(rf"[^\W\d_]+[0-9{_MARKS}]+[^\W\d_]|(?<!\S)[0-9{_MARKS}]+[^\W\d_]{{2}}")
+_LEET = re.compile(rf"[^\W\d_]+[0-9{_MARKS}]+[^\W\d_]|(?<!\S)[0-9{_MARKS}]+[^\W\d_]{{2}}|[^\W\d_][0-9@$]+(?!\w)")
 _REPEAT = re.compile(r"([A-Za-z])\1\1")
 _APART = re.compile(r"(?<![\w])[A-Za-z0-9@$!|](?:[ .*_-][A-Za-z0-9@$!|]){3,}(?![\w])")
-_EDGES = re.compile(r"^[\"'(\[{<]+|[\W_]+$")
+#: A closing @ or $ may stand for a letter; other marks at the end are punctuation.
+_EDGES = re.compile(r"^[\"'(\[{<]+|(?:[^\w@$]|_)+$")
 LETTERS = 28  # boundary, a to z, any other letter
 
 
@@ -114,7 +115,9 @@ class Restorer:
         if found is None:
             if len(self.known) > 100_000:
                 self.known.clear()
-            found = self.known[token] = self._decode(token)
+            found = self._decode(token)
+            if len(token) <= 80:
+                self.known[token] = found
         return found
 
     def _decode(self, token: str) -> str:
@@ -135,9 +138,10 @@ class Restorer:
                     column.append((r * n, cost) if n <= 3 else (r * 3, cost + self.DROP))
             columns.append(column)
         log = self.log
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # Paths are linked backwards, so a long token takes time in proportion.
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for column in columns:
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, path) in best.items():
                 for r, cost in column:
                     x, y, s = a, b, score + cost
@@ -146,9 +150,19 @@ class Restorer:
                         s += log[x][y][z]
                         x, y = y, z
                     if (x, y) not in after or s > after[x, y][0]:
-                        after[x, y] = (s, path + r)
+                        after[x, y] = (s, (path, r))
             best = after
-        return max(((s + log[a][b][0], p) for (a, b), (s, p) in best.items()), default=(0.0, ""))[1]
+        ends = [(s + log[a][b][0], p) for (a, b), (s, p) in best.items()]
+        most = max(s for s, _ in ends)
+        return max(self._read(p) for s, p in ends if s == most)
+
+    @staticmethod
+    def _read(path: tuple | None) -> str:
+        out = []
+        while path is not None:
+            path, r = path
+            out.append(r)
+        return "".join(reversed(out))
 
     def restored(self, text: str) -> list[str]:
         """The words that disguised places of a text stand for."""
@@ -156,15 +170,14 @@ class Restorer:
         if _LEET.search(text):
             for token in text.split():
                 token = token if token.isalnum() else _EDGES.sub("", token)
-                if 2 < len(token) <= 40 and not token.isalpha() and any(ch.isalpha() for ch in token) and any(ch in LEET for ch in token):
+                if len(token) > 2 and not token.isalpha() and any(ch.isalpha() for ch in token) and any(ch in LEET for ch in token):
                     out.append(self.word(token))
         if _REPEAT.search(text):
             for token in text.split():
-                if len(token) <= 80 and _REPEAT.search(token):
+                if _REPEAT.search(token):
                     out.append(self.word(_EDGES.sub("", token)))
         for m in _APART.finditer(text):
-            if len(m.group()) <= 80:
-                out.append(self.word(re.sub(r"[ .*_-]", "", m.group())))
+            out.append(self.word(re.sub(r"[ .*_-]", "", m.group())))
         return out
 
 

@@ -5,7 +5,9 @@ import re
 from collections import Counter
 from itertools import combinations
 
-from contigua.llm import packing, secrets
+import numpy as np
+
+from contigua.llm import packing, secrets, toxicity
 from contigua.operators import chain, structure
 from contigua.plans import catalogue
 from contigua.plans import views as v
@@ -118,3 +120,10 @@ def test_packing_has_the_least_padding_of_all_boundaries(spark, monkeypatch):
     monkeypatch.setattr(packing, "MOST_LENGTHS", 3)
     rows = packing.pack(docs, buckets=3).collect()
     assert len(rows) == len(lengths) and all(r.padding >= 0 for r in rows) and {r.bucket_len for r in rows} <= set(places)
+
+
+def test_long_disguises_and_closing_marks_are_restored():
+    restorer = toxicity.Restorer(toxicity.LanguageModel(np.ones((28, 28, 28)), np.zeros((28, 28, 28))))
+    n = lambda text: len(restorer.restored(text))
+    assert n("x " + "ab1" * 20 + "c") == 1 and n("stu" + "u" * 90 + "pid") == 1 and n(" ".join("stupid" * 20)) == 1 and n("q1w" * 20_000) == 1
+    assert n("so a$$, he") == 1 and n("an as5") == 1 and n("hello! (yes)") == 0
