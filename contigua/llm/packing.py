@@ -15,51 +15,65 @@ from pyspark.sql import functions as F
 
 from contigua.session import cut
 
-BUCKETS, BUDGET, GRANULE = 16, 32_768, 8
-#: Different lengths up to which each has a place of its own in the histogram.
-MOST_LENGTHS = 4096
+BUCKETS, BUDGET = 16, 32_768
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
-def on_grid(n):
-    """Length rounded up to a place where a boundary may be: multiples of 8, or of at most 1/128 of the length.
+def _best_cuts(cost: np.ndarray, n: np.ndarray, t: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each end j the least cost[i] + padding of one bucket for the lengths i to j, and its least i.
 
-    At most some thousand places, whatever the longest document.
+    The padding meets the quadrangle inequality, so the best i rises with j: ends are taken
+    halves first, each within the answers of its neighbours, a whole level at a time.
     """
-    n = F.greatest(n, F.lit(1))
-    step = F.greatest(F.lit(GRANULE), F.expr("shiftleft(1L, greatest(cast(floor(log2(greatest(n_tokens, 1))) as int) - 8, 0))"))
-    return (F.ceil(n / step) * step).cast("long")
+    d = len(lengths)
+    best, at = np.empty(d + 1, np.int64), np.zeros(d + 1, np.int64)
+    best[0] = cost[0]
+    lo, hi = np.array([1]), np.array([d])  # open ranges of ends
+    least, most = np.array([0]), np.array([d - 1])  # where their answers lie
+    while len(lo):
+        mid = (lo + hi) // 2
+        size = np.minimum(most, mid - 1) - least + 1
+        starts = np.cumsum(size) - size
+        seg = np.repeat(np.arange(len(mid)), size)
+        i = np.arange(len(seg)) - starts[seg] + least[seg]
+        j = mid[seg]
+        c = cost[i] + (n[j] - n[i]) * lengths[j - 1] - (t[j] - t[i])
+        low = np.minimum.reduceat(c, starts)
+        hit = np.flatnonzero(c == low[seg])
+        first = hit[np.searchsorted(seg[hit], np.arange(len(mid)))]
+        best[mid], at[mid] = low, i[first]
+        got = i[first]
+        left, right = lo < mid, mid < hi
+        lo, hi = np.r_[lo[left], mid[right] + 1], np.r_[mid[left] - 1, hi[right]]
+        least, most = np.r_[least[left], got[right]], np.r_[got[left], most[right]]
+    return best, at
 
 
 def boundaries(lengths: np.ndarray, counts: np.ndarray, totals: np.ndarray, buckets: int) -> list[int]:
     """At most ``buckets`` of the ascending ``lengths``, the last among them, with the least padding.
 
     ``counts`` are the documents for each length, ``totals`` the sums of their true lengths.
+    Time is buckets x lengths x log(lengths), all in whole numbers.
     """
     d = len(lengths)
     if not d:
         return []
-    n = np.concatenate(([0], np.cumsum(counts))).astype(float)
-    t = np.concatenate(([0], np.cumsum(totals))).astype(float)
-    cost = np.full(d + 1, np.inf)
-    cost[0] = 0
-    back = []
-    for _ in range(min(buckets, d)):
-        after, at = np.full(d + 1, np.inf), np.zeros(d + 1, int)
-        for j in range(1, d + 1):
-            padding = cost[:j] + (n[j] - n[:j]) * lengths[j - 1] - (t[j] - t[:j])
-            at[j] = padding.argmin()
-            after[j] = padding[at[j]]
+    n = np.concatenate(([0], np.cumsum(np.asarray(counts, np.int64))))
+    t = np.concatenate(([0], np.cumsum(np.asarray(totals, np.int64))))
+    lengths = np.asarray(lengths, np.int64)
+    # A round allows one bucket more (an empty one costs nothing).
+    cost, back = np.r_[0, n[1:] * lengths - t[1:]], [np.zeros(d + 1, np.int64)]
+    best, rounds = cost[d], 1
+    for _ in range(min(buckets, d) - 1):
+        cost, at = _best_cuts(cost, n, t, lengths)
         back.append(at)
-        cost = after
-        if len(back) == 1:
-            best, rounds = after[d], 1
-        elif after[d] < best:
-            best, rounds = after[d], len(back)
+        if cost[d] < best:
+            best, rounds = cost[d], len(back)
     out, j = [], d
     for at in reversed(back[:rounds]):
-        out.append(int(lengths[j - 1]))
-        j = at[j]
+        if j:
+            out.append(int(lengths[j - 1]))
+            j = at[j]
     return out[::-1]
 
 
@@ -69,20 +83,19 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     n_tokens counts words (null text has none, and takes a place all the same). A batch is
     (bucket, batch): at most ``budget // bucket_len`` documents, each padded to bucket_len;
     a document longer than the budget is a batch by itself. Order inside a bucket: length,
-    then doc_id, nulls first; rows equal in both come in any order. Every row is placed.
+    then doc_id, nulls first; rows equal in both (repeated rows too) come in any order.
+    Every row is placed, a repeated one as often as it comes; an empty table gives no rows.
+    Other columns are ignored, whatever their names.
     """
     lengths = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORDS)).cast("long").alias("n_tokens")), "lengths")
     spark = docs.sparkSession
     one = F.greatest("n_tokens", F.lit(1))
-    sums = [F.count("*").alias("n"), F.sum("n_tokens").alias("t"), F.max(one).alias("most")]
-    histogram = lengths.groupBy(one.alias("at")).agg(*sums).limit(MOST_LENGTHS + 1).collect()
-    if len(histogram) > MOST_LENGTHS:
-        histogram = lengths.groupBy(on_grid(F.col("n_tokens")).alias("at")).agg(*sums).collect()
-    # Of a place on the grid the greatest length there is the boundary.
-    n, t, at = (np.array([r[c] for r in sorted(histogram)], np.int64) for c in ("n", "t", "most"))
+    # One row for each different length; D of them need D*D/2 words, so even 10**13 words have some millions at most.
+    histogram = lengths.groupBy(one.alias("at")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).collect()
+    at, n, t = (np.array([r[c] for r in sorted(histogram)], np.int64) for c in ("at", "n", "t"))
     edges = boundaries(at, n, t, buckets)
     if not edges:
-        edges = [GRANULE]
+        edges = [1]
     array = F.array(*[F.lit(e).cast("long") for e in edges])
     rows = lengths.withColumn("bucket", F.size(F.filter(array, lambda e: e < F.col("n_tokens"))))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
