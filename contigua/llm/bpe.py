@@ -2,8 +2,10 @@
 
 A word is a sequence of symbols (byte characters, the last one marked as word end).
 For each of its prefixes exactly one token can be the last of that prefix's BPE
-encoding. A suffix automaton over the vocabulary (goto and failure links) lists the
-tokens that end at a prefix; the one that is right is the one whose pair with the
+encoding. An automaton of suffix matches (the vocabulary's tokens as a tree with failure
+links, so that each state is the longest suffix that begins a token) lists the tokens
+that end at a prefix; those that BPE never makes of their own symbols are left out of it
+from the start. Of the others the one that is right is the one whose pair with the
 last token of what precedes it survives a test of compatibility: undoing the two
 tokens' merges, latest first, never meets a pair that BPE would have merged across
 the cut. Following the last tokens backwards gives the ids. Letters that Unicode took
@@ -65,6 +67,12 @@ class WordBpe:
                 raise ValueError(f"two merges make {a + b!r}")
             self.split[whole], self.rank[whole] = (vocab[a], vocab[b]), r
             self.joined[vocab[a], vocab[b]] = r
+        # A token comes up only if both its parts do and nothing merges across their border before it is made.
+        self.made: set[int] = {t for t in [*self.inner, *self.final] if t is not None}
+        for t, (a, b) in sorted(self.split.items(), key=lambda x: self.rank[x[0]]):
+            if a in self.made and b in self.made and self.compatible(a, b, self.rank[t]):
+                self.made.add(t)
+        self.shift = max(vocab.values(), default=0).bit_length() + 1
         self._automaton()
         self.known_pairs: dict[int, bool] = {}
         self.moves: list[dict[int, int]] = [{} for _ in self.go]
@@ -84,7 +92,7 @@ class WordBpe:
     def _automaton(self) -> None:
         base = sorted({t for t in [*self.inner, *self.final] if t is not None})
         go, token, length = [{}], [None], [0]
-        for t in [*base, *self.split]:
+        for t in [*base, *(t for t in self.split if t in self.made)]:
             at = 0
             for s in self._spelled(t):
                 if s not in go[at]:
@@ -107,14 +115,14 @@ class WordBpe:
             shorter[at] = fail[at] if token[fail[at]] is not None else shorter[fail[at]]
         self.go, self.token, self.length, self.fail, self.shorter = go, token, length, fail, shorter
 
-    def compatible(self, left: int, right: int) -> bool:
-        """Whether BPE leaves the boundary between two tokens alone.
+    def compatible(self, left: int, right: int, before: int | None = None) -> bool:
+        """Whether BPE leaves the boundary between two tokens alone (in the merges of ranks below ``before``).
 
         Merges are undone from the latest to the earliest; at each moment the pair at the
         cut must not be one that BPE merges before the merge undone last.
         """
         rank, split, joined = self.rank, self.split, self.joined
-        a, b, before = left, right, len(rank)
+        a, b, before = left, right, len(rank) if before is None else before
         while True:
             r = joined.get((a, b))
             if r is not None and r < before:
@@ -146,7 +154,7 @@ class WordBpe:
     def encode(self, word: bytes) -> list[int]:
         if not word:
             return []
-        inner, moves, ends, known = self.inner, self.moves, self.ends, self.known_pairs
+        inner, moves, ends, known, shift = self.inner, self.moves, self.ends, self.known_pairs, self.shift
         symbols = [inner[b] for b in word]
         symbols[-1] = self.final[word[-1]]
         if None in symbols:  # a symbol that the vocabulary lacks has no token
@@ -161,12 +169,12 @@ class WordBpe:
             for t, n in ends[at]:
                 if n == i:
                     break
-                key = last[i - n - 1] << 20 | t
+                key = last[i - n - 1] << shift | t
                 ok = known.get(key)
                 if ok is None:
                     if len(known) > 1_000_000:
                         known.clear()
-                    ok = known[key] = self.compatible(key >> 20, t)
+                    ok = known[key] = self.compatible(key >> shift, t)
                 if ok:
                     break
             last.append(t)
@@ -195,8 +203,9 @@ class Tokenizer:
         numbers = "0-9²³¹¼-¾"
         self.narrow = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+").findall if pattern == WORDS else None
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda s: [s]
-        self.known: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
+        self.spelled = {str(i): t for i, t in self.names.items()}
+        self.known: dict[str, tuple[int, str]] = {}
+        self.older: dict[str, tuple[int, str]] = {}
 
     def words(self, text: str) -> list[str]:
         if self.narrow:
@@ -215,23 +224,23 @@ class Tokenizer:
             text = unicodedata.normalize("NFC", text)
         return text.replace("Σ", "σ").lower()
 
-    def _word(self, word: str) -> tuple[int, str, str]:
+    def _word(self, word: str) -> tuple[int, str]:
         entry = self.older.get(word)
         if entry is None:
             ids = self.bpe.encode(word.encode("utf-8", "surrogatepass"))
-            entry = (len(ids), " ".join(map(str, ids)), " ".join(map(self.names.__getitem__, ids)))
+            entry = (len(ids), " ".join(map(str, ids)))
         if len(word) <= CACHE_WORD_LEN:
             if len(self.known) >= CACHE_WORDS:
                 self.known, self.older = {}, self.known
             self.known[word] = entry
         return entry
 
-    def pieces(self, text: str) -> list[tuple[int, str, str]]:
-        """For each word: number of ids, the ids and the tokens, each joined by a space."""
-        out: list[tuple[int, str, str]] = []
+    def pieces(self, text: str) -> list[tuple[int, str]]:
+        """For each word: number of ids, and the ids joined by a space."""
+        out: list[tuple[int, str]] = []
         for i, part in enumerate(self.cut(text)):
             if i % 2:
-                out.append((1, str(self.special[part]), part))
+                out.append((1, str(self.special[part])))
             elif part:
                 words = self.words(self.normalise(part))
                 got = list(map(self.known.get, words))
@@ -245,7 +254,14 @@ class Tokenizer:
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by a space, as a tokenizer without a decoder gives them."""
-        return " ".join(self.names[i] for i in ids if i in self.names)
+        return self.decode_line(" ".join(map(str, ids)))
+
+    def decode_line(self, ids: str) -> str:
+        """The same from decimal ids joined by a space."""
+        try:
+            return " ".join(map(self.spelled.__getitem__, ids.split()))
+        except KeyError:  # ids beyond the vocabulary have no token
+            return " ".join(self.spelled[i] for i in ids.split() if i in self.spelled)
 
 
 _loaded: dict[str, Tokenizer] = {}
@@ -273,7 +289,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             n, ids, dec, a, d = [], [], [], [], []
             for text in b.column(1).to_pylist():
                 got = t.pieces(text)
-                x, y = " ".join([p[1] for p in got]), " ".join([p[2] for p in got])
+                x = " ".join([p[1] for p in got])
+                y = t.decode_line(x)
                 n.append(sum([p[0] for p in got]))
                 a.append(sha(x.encode()).hexdigest())
                 d.append(sha(y.encode()).hexdigest())
