@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from contigua.session import ship
 
 WINDOW = 20
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
 MIN_BLOCKS, MAX_CUTS = 32, 4096
 _M = (1 << 64) - 1
 _BASE, _BASE_2, _BYTE = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1, 0x100000001B3
@@ -227,13 +227,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(MIN_BLOCKS, math.ceil(total / block_bytes))
-    check = check_bytes(total / 4)
+    ranges = max(MIN_BLOCKS, math.ceil(total / RANGE_BYTES))
+    check = check_bytes(total / 2)  # a window starts at a word, and a word has two bytes with its space
     placed = with_blocks(rows, blocks).select("block", "doc_id", "text")
 
     def distinct_windows(t: pa.Table) -> pa.Table:
         block = t.column("block")[0].as_py()
         b = Block(t.column("doc_id").to_pylist(), t.column("text").to_pylist(), size)
-        got = list(b.blobs(blocks, check))
+        got = list(b.blobs(ranges, check))
         return pa.table({"block": pa.array([block] * len(got), pa.int64()), "part": pa.array([p for p, _ in got], pa.int32()), "blob": pa.array([x for _, x in got], pa.binary())})
 
     def answer(t: pa.Table) -> pa.Table:
