@@ -55,6 +55,15 @@ def drop_cut(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def fresh_name(name: str, taken: list[str]) -> str:
+    """A column name that begins with ``name`` and that no column in ``taken`` has."""
+    there = {t.lower() for t in taken}
+    out = f"_{name}"
+    while out in there:
+        out += "_"
+    return out
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, wherever they run."""
     sc = spark.sparkContext
