@@ -1,8 +1,8 @@
 """Exact deduplication by distributed MSD radix partitioning.
 
 Each text, white space deleted, is a byte string that starts with its length. A level
-splits every open group by the next run of bytes; runs grow geometrically, so a text
-of n bytes ends after O(log n) levels. A group closes when it is a singleton or when
+splits every open group by the next run of bytes; runs grow from level to level up to
+``MOST_RUN`` bytes, the most that a grouping key holds. A group closes when it is a singleton or when
 its bytes have ended: two texts share a closed group exactly when their bytes are
 equal, and no digest decides anything. Level 0 splits by length and a short prefix
 and counts without moving texts; only members of open groups carry their rest on.
@@ -14,12 +14,12 @@ Each level is written to the shared folder, so a lost executor costs one level.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contigua.session import cut
+from contigua.session import cut, fresh_name
 
-PREFIX, GROWTH = 64, 16
+PREFIX, GROWTH, MOST_RUN = 64, 16, 1 << 20
 
 
 def normalised(text):
@@ -35,11 +35,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     last); of rows that tie even there (repeated rows) exactly one stays. An empty
     table gives an empty result. Other columns are ignored, whatever their names.
     """
-    text = F.col(text_col)
+    found = _groups(docs, F.col(id_col), F.col(text_col), F.monotonically_increasing_id(), prefix, growth)
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def _groups(docs: DataFrame, id_: Column, text: Column, row: Column, prefix: int = PREFIX, growth: int = GROWTH) -> DataFrame:
+    """As ``exact_groups``, with the number ``row`` of each row (unique, and fixed when the first level is written) and sha."""
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.length(F.coalesce(text, F.lit(""))).alias("points"), normalised(text).alias("norm")
+        id_.cast("long").alias("doc_id"), row.alias("row"), F.length(F.coalesce(text, F.lit(""))).alias("points"), normalised(text).alias("norm")
     ).select(
-        "doc_id", "points", F.octet_length("norm").alias("size"), F.unhex(F.sha2("norm", 256)).alias("sha"), F.encode("norm", "utf-8").alias("rest")
+        "doc_id", "row", "points", F.octet_length("norm").alias("size"), F.unhex(F.sha2("norm", 256)).alias("sha"), F.encode("norm", "utf-8").alias("rest")
     )
     head = F.expr(f"substring(rest, 1, {prefix})")
     open_groups = (
@@ -50,11 +55,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     joined = rows.withColumn("run", head).join(cut(open_groups, "radix-open").hint("merge"), (F.col("size") == F.col("g_size")) & (F.col("run") == F.col("g_run")), "left")
     state = cut(
-        joined.select("doc_id", "points", "size", "sha", "gid", F.monotonically_increasing_id().alias("row"), F.when(F.col("gid").isNotNull(), F.expr(f"substring(rest, {prefix + 1}, size)")).alias("rest")),
+        joined.select("doc_id", "points", "size", "sha", "gid", "row", F.when(F.col("gid").isNotNull(), F.expr(f"substring(rest, {prefix + 1}, size)")).alias("rest")),
         "radix-0",
     )
-    result = [state.where("gid is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")]
-    live, end, width = state.where("gid is not null"), prefix, prefix * growth
+    result = [state.where("gid is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha", "row")]
+    live, end, width = state.where("gid is not null"), prefix, min(prefix * growth, MOST_RUN)
     while live.select("doc_id").head(1):
         step = live.withColumn("run", F.expr(f"substring(rest, 1, {width})"))
         end += width
@@ -72,23 +77,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             f"radix-{end}",
         )
         result.append(
-            state.where("gid is null").select("doc_id", (-F.col("best.minus_id")).alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == -F.col("best.minus_row")).alias("kept"), "sha")
+            state.where("gid is null").select("doc_id", (-F.col("best.minus_id")).alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == -F.col("best.minus_row")).alias("kept"), "sha", "row")
         )
-        live, width = state.where("gid is not null").drop("n", "best"), width * growth
+        live, width = state.where("gid is not null").drop("n", "best"), min(width * growth, MOST_RUN)
     out = result[0]
     for part in result[1:]:
         out = out.unionByName(part)
-    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+    return out
 
 
 def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``exact_groups`` keeps, with all their columns.
 
-    A null id is an id of its own here. Of rows that repeat both id and text one stays.
+    Rows are told apart by their place in a written copy of ``docs``, so neither ids nor
+    digests decide: null and repeated ids are ids of their own, and of rows that repeat
+    both id and text one stays. Null texts stay null. An empty table stays empty.
     """
-    key = lambda id_, sha: F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("null")), sha)
-    stay = exact_groups(docs, id_col, text_col).where("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("__key"))
-    keyed = docs.withColumn("__key", key(F.col(id_col).cast("long"), F.sha2(normalised(F.col(text_col)), 256)))
-    found = keyed.join(stay, "__key", "left_semi")
-    one = found.withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy(F.length(text_col).desc())))
-    return one.where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = fresh_name("row", docs.columns)
+    held = cut(docs.withColumn(row, F.monotonically_increasing_id()), "exact-rows")
+    gone = _groups(held, F.col(id_col), F.col(text_col), F.col(row)).where("not kept").select(F.col("row").alias(row))
+    return held.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
