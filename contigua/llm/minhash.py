@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from contigua.llm.components import compact, components
 from contigua.llm.substring_dedup import mixed, window_hashes, word_hashes
-from contigua.session import cut, ship
+from contigua.session import cut, drop_cut, fresh_name, ship
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
@@ -248,6 +248,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size, wide = signed.count(), 8 * bands + k + 32
     owner = cut(compact(signed.select("doc_id", "copy").join(copies, "copy").select("doc_id", "rep"), size), "copies")
     reps = cut(compact(signed.join(copies.select(F.col("copy").alias("c"), "rep"), (F.col("doc_id") == F.col("rep")) & (F.col("copy") == F.col("c"))).select("rep", "bands", "sig").dropDuplicates(["rep"]), size, wide), "reps")
+    drop_cut(signed)
     member = reps.select("rep", F.explode("bands").alias("bucket"))
     buckets = member.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1")
     held = cut(compact(member.join(buckets, "bucket"), size * bands), "buckets")
@@ -278,6 +279,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # A member meets at most ``most`` leaders of a bucket; that bounds the rows.
         fresh = cut(compact(compared(marked, some, k, similarity).join(tested, (F.col("a") == F.col("p_a")) & (F.col("b") == F.col("p_b")), "left_anti"), n_open * most), "fresh")
         more = cut(verified(fresh, texts, similarity), "links")
+        drop_cut(marked)  # leaders hold what later rounds need of it
         tested = tested.unionByName(fresh.select(F.col("a").alias("p_a"), F.col("b").alias("p_b")))
         leaders = some.select("rep", "bucket") if leaders is None else leaders.unionByName(some.select("rep", "bucket"))
         if more.head(1):
@@ -293,7 +295,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its class, and those without an id; all their columns."""
+    """The rows of ``docs`` whose id is the smallest of its class, and those without an id; all their columns.
+
+    Rows that repeat the id that stays all stay. An empty table stays empty.
+    """
     classes = near_duplicates(docs, id_col, text_col, similarity)
-    gone = classes.where("class_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    gone_id = fresh_name("gone", docs.columns)
+    gone = classes.where("class_id <> doc_id").select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(gone_id), "left_anti")
