@@ -172,16 +172,19 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Kinds are numbers in the order of the rules, base rules first. Offsets are code
     points, ends exclusive; overlapping spans of different kinds all count. Null text is
-    empty. Rows that repeat an id are each scanned (they share their candidates), null ids
-    likewise. Other columns are ignored.
+    empty. Rows that repeat an id are each scanned (they share their candidates); rows
+    without an id are scanned by every rule. An empty table gives no rows. Other columns
+    are ignored, whatever their names.
     """
     rules = BASE_RULES | (ADDED_RULES if added is None else added)
     names, n_base = list(rules), len(BASE_RULES)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     queries = {k: q for k, (e, _, _) in enumerate(rules.values()) if (q := trigram_query(e)) is not None}
-    index = cut(postings(rows, sorted({t for q in queries.values() for c in q for t in c})), "postings")
+    index = cut(postings(rows.where("doc_id is not null"), sorted({t for q in queries.values() for c in q for t in c})), "postings")
     hits = candidates(index, queries).withColumnRenamed("doc_id", "c_id")
-    joined = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("c_id")), "left")
+    # Rows without an id have no postings of their own; their texts deal them out over the tasks.
+    key = F.coalesce("doc_id", F.xxhash64("text"))
+    joined = rows.withColumn("key", key).join(hits, F.col("key") == F.col("c_id"), "left")
     text = F.col("text")
     none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
     each = []
@@ -189,7 +192,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         expression, group, least = rule
         # A full scan looks for a run that is long enough first; a match of it is there exactly if one stays.
         quick = expression[:-1] + f"{{{least},}}" if k not in queries and not group and is_run(expression) else expression
-        maybe = text.rlike(quick) if k not in queries else (F.coalesce(F.col("rules"), F.lit(0)).bitwiseAND(1 << k) != 0) & text.rlike(expression)
+        maybe = text.rlike(quick) if k not in queries else (F.col("doc_id").isNull() | (F.coalesce(F.col("rules"), F.lit(0)).bitwiseAND(1 << k) != 0)) & text.rlike(expression)
         longer = (quick, group, least)
         each.append(F.when(maybe, spans(text, longer, k)).otherwise(none))
     found = joined.select("doc_id", F.concat(*each[:n_base]).alias("base"), F.concat(*each[n_base:]).alias("more"))
