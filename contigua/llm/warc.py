@@ -131,24 +131,31 @@ def unzipped(data: bytes) -> bytes:
     return b"".join(out)
 
 
+def warc_name(archive: str) -> str:
+    """The name of the WARC file for an ARC file: its extension changes, nothing else of it."""
+    stem = archive.removesuffix(".gz")
+    return stem.removesuffix(".arc") + ".warc" + archive[len(stem) :]
+
+
 def record_id(archive: str, offset: int, payload_digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive}#{offset}#{payload_digest}')}>"
 
 
-def convert(archive: str, data: bytes, original: dict[int, tuple[str, int, int | None] | None]) -> bytes:
-    """An ARC file as WARC. ``original``: by offset, archive, offset and page of the record that a revisit refers to."""
-    out = [warc_record({"WARC-Type": "warcinfo", "WARC-Record-ID": record_id(archive, -1, ""), "WARC-Date": "1970-01-01T00:00:00Z", "WARC-Filename": archive.replace(".arc", ".warc"), "Content-Type": "application/warc-fields"}, b"software: contigua\r\nformat: WARC File Format 1.0\r\n")]
+def convert(archive: str, data: bytes, original: dict[tuple[int, bytes], tuple[str, int, int | None]]) -> bytes:
+    """An ARC file as WARC. ``original``: by offset and payload (SHA-256), archive, offset and page of the record that a revisit refers to."""
+    out = [warc_record({"WARC-Type": "warcinfo", "WARC-Record-ID": record_id(archive, -1, ""), "WARC-Date": "1970-01-01T00:00:00Z", "WARC-Filename": warc_name(archive), "Content-Type": "application/warc-fields"}, b"software: contigua\r\nformat: WARC File Format 1.0\r\n")]
     for at, fields, content in arc_records(data):
         http, head, payload = payload_of(content)
         d = digest(payload)
-        first = original.get(at)
+        first = original.get((at, hashlib.sha256(payload).digest())) if original else None
+        block = head if first else content
         headers = {
             "WARC-Type": "revisit" if first else "response", "WARC-Record-ID": record_id(archive, at, d), "WARC-Date": warc_date(fields["Archive-date"]), "WARC-Target-URI": fields["URL"],
-            "WARC-IP-Address": fields["IP-address"], "WARC-Payload-Digest": f"sha1:{d}", "Content-Type": "application/http; msgtype=response" if head else fields["Content-type"],
+            "WARC-IP-Address": fields["IP-address"], "WARC-Payload-Digest": f"sha1:{d}", "WARC-Block-Digest": f"sha1:{digest(block)}", "Content-Type": "application/http; msgtype=response" if head else fields["Content-type"],
         }
         if first:
             headers |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(first[0], first[1], d), "Refers-To-Page": "" if first[2] is None else str(first[2])}
-        out.append(warc_record(headers, head if first else content))
+        out.append(warc_record(headers, block))
     return b"".join(out)
 
 
@@ -213,7 +220,9 @@ def convert_arcs(arcs: DataFrame) -> DataFrame:
     """A table of ARC files as a table of WARC files.
 
     Of records with equal payloads the one with the smallest page (X-Page-Id; missing
-    ones last, then by archive and offset) is a response, the others revisit it.
+    ones last, then by archive and offset) is a response, the others revisit it. Archives
+    should have names of their own: of two with one name, a record of equal place and
+    payload in both counts as one.
     """
     ship(arcs.sparkSession)
 
@@ -231,14 +240,14 @@ def convert_arcs(arcs: DataFrame) -> DataFrame:
     records = cut(arcs.mapInArrow(index, "archive string, at long, page long, size long, sha binary"), "arc-index")
     firsts = records.groupBy("sha", "size").agg(F.min(F.struct(F.col("page").isNull().alias("no"), "page", "archive", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
     # Only records that revisit another need a row here.
-    links = records.join(firsts.select("sha", "size", "first"), ["sha", "size"]).where("archive <> first.archive or at <> first.at").select("archive", "at", F.col("first.archive").alias("f_archive"), F.col("first.at").alias("f_at"), F.col("first.page").alias("f_page"))
+    links = records.join(firsts.select("sha", "size", "first"), ["sha", "size"]).where("archive <> first.archive or at <> first.at").select("archive", "at", "sha", F.col("first.archive").alias("f_archive"), F.col("first.at").alias("f_at"), F.col("first.page").alias("f_page"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        original = {r["at"]: (r["f_archive"], r["f_at"], r["f_page"]) for r in right.to_pylist()}
+        original = {(r["at"], r["sha"]): (r["f_archive"], r["f_at"], r["f_page"]) for r in right.to_pylist()}
         names, out = left.column("archive").to_pylist(), []
         for name, data in zip(names, left.column("content").to_pylist(), strict=True):
             out.append(convert(name, data, original))
-        return pa.table({"archive": pa.array([n.replace(".arc", ".warc") for n in names], pa.string()), "content": pa.array(out, pa.binary())})
+        return pa.table({"archive": pa.array([warc_name(n) for n in names], pa.string()), "content": pa.array(out, pa.binary())})
 
     return cut(arcs.groupBy("archive").cogroup(links.groupBy("archive")).applyInArrow(run, "archive string, content binary"), "warc")
 
@@ -246,7 +255,7 @@ def convert_arcs(arcs: DataFrame) -> DataFrame:
 def read_warcs(warcs: DataFrame) -> DataFrame:
     """Rows of the response and revisit records: page_id, url, date, record_id, record_type, payload_bytes, payload_digest, refers_to, refers_to_id.
 
-    A response's payload is digested anew and held against its header.
+    Each block and each response's payload is digested anew and held against its header.
     """
     ship(warcs.sparkSession)
     schema = "page_id long, url string, date string, record_id string, record_type string, payload_bytes long, payload_digest string, refers_to long, refers_to_id string"
@@ -260,6 +269,8 @@ def read_warcs(warcs: DataFrame) -> DataFrame:
                         continue
                     http, _, payload = payload_of(block)
                     told = h["WARC-Payload-Digest"].removeprefix("sha1:")
+                    if digest(block) != h.get("WARC-Block-Digest", "sha1:" + digest(block)).removeprefix("sha1:"):
+                        raise ValueError(f"the block of {h['WARC-Record-ID']} is not what its digest says")
                     page, first = http.get("x-page-id") or None, h.get("Refers-To-Page") or None
                     if h["WARC-Type"] == "response":
                         if digest(payload) != told:
