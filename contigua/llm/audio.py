@@ -3,7 +3,8 @@
 Payload bytes are stored as the samples of a WAV file, which holds them as they are.
 Features of the stored samples: polyphase resampling by a rational factor, overlapped
 log-mel filterbanks pooled to a tensor of fixed shape, and segments of high energy with
-two thresholds (one to start, a lower one to go on), given as spans of time.
+two thresholds (one to start, a lower one to go on), given as spans of time. Features
+are stored as Arrow record batches whose tensor column has a fixed shape, and read back.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contigua.session import scratch_path, ship
+from contigua.session import cut, scratch_path, ship
 
 PAD, UNIT = 32, 192
 RATE, UP, DOWN = 12_000, 2, 3
@@ -134,16 +135,42 @@ def segments(energy: np.ndarray) -> list[tuple[int, int]]:
 
 
 TENSOR = pa.fixed_shape_tensor(pa.float32(), (BINS, MELS))
+SPANS = pa.list_(pa.struct([("start", pa.float32()), ("end", pa.float32())]))
+#: What a stored batch holds.
+STORED = pa.schema([
+    ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()),
+    ("media_sha256", pa.string()), ("feature", pa.string()), ("tensor", TENSOR), ("spans", SPANS),
+])
 
 
 def as_tensors(column: pa.Array | pa.ChunkedArray) -> pa.FixedShapeTensorArray:
-    """The ``tensor`` column as an Arrow array of tensors of one shape."""
+    """The ``tensor`` column of ``features`` as an Arrow array of tensors of one shape."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(column.flatten(), BINS * MELS))
 
 
+def to_ipc(batch: pa.RecordBatch) -> bytes:
+    """A record batch as an Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def from_ipc(data: bytes) -> pa.Table:
+    """The rows of such a stream; its tensors must have the one shape."""
+    table = pa.ipc.open_stream(data).read_all()
+    if table.schema.field("tensor").type != TENSOR:
+        raise ValueError(f"tensors of another shape: {table.schema.field('tensor').type}")
+    return table
+
+
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A table (doc_id, n_bytes, media) of WAV files in the shared folder, read back from there."""
+    """A table (doc_id, n_bytes, media) of WAV files in the shared folder, read back from there, one row per row.
+
+    Null and empty texts are a unit of spaces. Repeated rows and null ids stay as they
+    are, other columns are ignored, an empty table gives an empty one.
+    """
     spark = docs.sparkSession
     ship(spark)
 
@@ -163,18 +190,11 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return spark.read.schema(made.schema).parquet(path)
 
 
-def features(media: DataFrame, full: bool = True) -> DataFrame:
-    """Features of a table (doc_id, n_bytes, media), one row per row.
-
-    doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
-    feature; if ``full`` also tensor (array of BINS x MELS floats, by rows) and spans (array
-    of start and end in seconds). Null text is empty and has a unit of padding; equal texts
-    have equal features, as each document is computed by itself.
-    """
+def tensor_batches(media: DataFrame) -> DataFrame:
+    """Features of a table (doc_id, n_bytes, media) as a stored table (batch) of Arrow streams of ``STORED`` rows."""
     ship(media.sparkSession)
 
     def run(batches):
-        span = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))
         for b in batches:
             cols: list[list] = [[] for _ in range(8)]
             for data in b.column(2).to_pylist():
@@ -186,17 +206,36 @@ def features(media: DataFrame, full: bool = True) -> DataFrame:
                 active = sum(z - a for a, z in found)
                 row = (
                     len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(),
-                    f"frames={len(mel)};segments={len(found)};active={active};mel={zlib.crc32(whole):08x}", tensor.ravel(), [{"start": a * second, "end": z * second} for a, z in found] if full else None,
+                    f"frames={len(mel)};segments={len(found)};active={active};mel={zlib.crc32(whole):08x}", tensor.ravel(), [{"start": a * second, "end": z * second} for a, z in found],
                 )
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            out = [b.column(0), b.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=False)]]
-            if full:
-                out += [pa.array(cols[6], pa.list_(pa.float32())), pa.array(cols[7], span)]
-                names += ["tensor", "spans"]
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_bytes", *names])
-
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema + (", tensor array<float>, spans array<struct<start:double,end:double>>" if full else ""))
+            if not len(b):
+                continue
+            tensors = pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(cols[6])), BINS * MELS))
+            made = [b.column(0), b.column(1), *[pa.array(c, STORED.field(i + 2).type) for i, c in enumerate(cols[:6])], tensors, pa.array(cols[7], SPANS)]
+            yield pa.RecordBatch.from_arrays([pa.array([to_ipc(pa.RecordBatch.from_arrays(made, schema=STORED))], pa.binary())], names=["batch"])
+
+    return cut(media.select("doc_id", "n_bytes", "media").mapInArrow(run, "batch binary"), "tensors")
+
+
+def features(media: DataFrame) -> DataFrame:
+    """Features of a table (doc_id, n_bytes, media), one row per row, as read back from the stored tensors.
+
+    doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
+    feature, tensor (BINS x MELS floats, by rows) and spans (array of start and end in
+    seconds). Null text is empty and has a unit of padding; equal texts have equal
+    features, as each document is computed by itself. An empty table gives no rows.
+    """
+    stored = tensor_batches(media)
+
+    def run(batches):
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                t = from_ipc(data)
+                at = t.schema.get_field_index("tensor")
+                t = t.set_column(at, "tensor", t.column(at).combine_chunks().storage.cast(pa.list_(pa.float32())))
+                yield from t.to_batches()
+
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tensor array<float>, spans array<struct<start:float,end:float>>"
+    return stored.mapInArrow(run, schema)

@@ -43,7 +43,7 @@ def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.features(audio.store(table(spark, sf_dir, "documents")), full=False)
+    return audio.features(audio.store(table(spark, sf_dir, "documents")))
 
 
 def op10_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
