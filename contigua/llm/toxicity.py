@@ -4,8 +4,9 @@ Disguised words go through a noisy channel backwards: a token with leet characte
 letters set apart or letters repeated is a lattice of what each character may stand
 for, and Viterbi decoding takes the likeliest path under a character language model.
 The model mixes trigram counts over all documents with those of the words that mark the
-labelled toxic rows. A logistic regression on words and word beginnings of the restored
-text, trained on labelled rows, gives the score.
+labelled toxic rows. What is decoded takes the place of what stood there, and a logistic
+regression on words and word beginnings of that restored text, trained on labelled rows,
+gives the score.
 """
 
 from __future__ import annotations
@@ -24,18 +25,24 @@ from contigua.session import cut, ship
 
 #: Labelled rows that the classifier is fitted on at most (those with the smallest hashes of their ids).
 MAX_LABELLED = 16_000
-#: Features of the classifier at most, and the least number of toxic rows that one must be in.
-MAX_FEATURES, MIN_TOXIC = 1500, 4
-PREFIXES = (4, 5, 6)
+#: Features of the classifier at most, the least number of toxic rows that one must be in, and by how
+#: many standard deviations it must be more frequent there than in all rows. They choose columns of the
+#: classifier from the labelled rows; no text, row or word is left out of scoring by them.
+MAX_FEATURES, MIN_TOXIC, MIN_SURPRISE = 1500, 4, 4
+#: Words up to WORD letters are features of their own, beginnings of longer words than these are others.
+WORD, PREFIXES = 30, (4, 5, 6)
 
 # What a character may stand for besides itself.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "*": "aeiou", "(": "c", "€": "e", "£": "l"}
-_MARKS = re.escape("".join(c for c in LEET if not c.isdigit()))
-_LEET = re.compile(rf"[^\W\d_]+[0-9{_MARKS}]+[^\W\d_]|(?<!\S)[0-9{_MARKS}]+[^\W\d_]{{2}}|[^\W\d_][0-9@$]+(?!\w)")
-_REPEAT = re.compile(r"([A-Za-z])\1\1")
+_LEET = re.compile("[" + re.escape("".join(LEET)) + "]")
+_LETTER = re.compile(r"[^\W\d_]")
+_REPEAT = re.compile(r"([^\W\d_])\1\1")
 _APART = re.compile(r"(?<![\w])[A-Za-z0-9@$!|](?:[ .*_-][A-Za-z0-9@$!|]){3,}(?![\w])")
 #: A closing @ or $ may stand for a letter; other marks at the end are punctuation.
 _EDGES = re.compile(r"^[\"'(\[{<]+|(?:[^\w@$]|_)+$")
+#: Fixed value: a number with at most three letters after it, or one or two letters before it.
+_PLAIN = re.compile(r"[0-9][0-9.,:/+*-]*[^\W\d_]{0,3}$|[^\W\d_]{1,2}[0-9]+$")
+_STRIP = "\"'.,;:!?()[]{}<>*#%&$@|/\\-_=+~`0123456789"
 LETTERS = 28  # boundary, a to z, any other letter
 
 
@@ -111,15 +118,33 @@ class Restorer:
         self.log, self.known = model.log.tolist(), {}
 
     def word(self, token: str) -> str:
+        """The likeliest reading of a token's characters."""
+        return self._decode(token)
+
+    def read(self, token: str) -> str:
+        """What a token (lower case) is in the restored text; it depends on that token only."""
         found = self.known.get(token)
         if found is None:
-            if len(self.known) > 100_000:
+            if len(self.known) > 200_000:
                 self.known.clear()
-            found = self._decode(token)
+            core = token if token.isalnum() else _EDGES.sub("", token)
+            found = self._decode(core) if self.disguised(core) else token.strip(_STRIP)
             if len(token) <= 80:
                 self.known[token] = found
         return found
 
+    @staticmethod
+    def disguised(core: str) -> bool:
+        """Whether letters stand beside characters that may stand for letters, or one is repeated.
+
+        A number with a short ending (2nd, 5kg) or a single letter before a number (a4) is as it is meant.
+        """
+        if core.isalpha():
+            return bool(_REPEAT.search(core))
+        if len(core) < 3 or not _LETTER.search(core) or not _LEET.search(core):
+            return bool(_REPEAT.search(core))
+        return not _PLAIN.match(core)
+
     def _decode(self, token: str) -> str:
         # Columns of the lattice: (reading, channel cost); a run of a letter may shrink to two or one.
         columns: list[list[tuple[str, float]]] = []
@@ -164,36 +189,29 @@ class Restorer:
             out.append(r)
         return "".join(reversed(out))
 
-    def restored(self, text: str) -> list[str]:
-        """The words that disguised places of a text stand for."""
-        out = []
-        if _LEET.search(text):
-            for token in text.split():
-                token = token if token.isalnum() else _EDGES.sub("", token)
-                if len(token) > 2 and not token.isalpha() and any(ch.isalpha() for ch in token) and any(ch in LEET for ch in token):
-                    out.append(self.word(token))
-        if _REPEAT.search(text):
-            for token in text.split():
-                if _REPEAT.search(token):
-                    out.append(self.word(_EDGES.sub("", token)))
-        for m in _APART.finditer(text):
-            out.append(self.word(re.sub(r"[ .*_-]", "", m.group())))
-        return out
+    def together(self, text: str) -> str:
+        """``text`` in lower case with letters set apart put together."""
+        return _APART.sub(lambda m: " " + self._decode(re.sub(r"[ .*_-]", "", m.group())) + " ", text).lower()
+
+    def words(self, text: str) -> set[str]:
+        """The distinct words of the restored text."""
+        return set(map(self.read, set(self.together(text).split())))
+
+    def restored(self, text: str) -> str:
+        """The whole restored text: its words in order, one space between them."""
+        return " ".join(w for t in self.together(text).split() if (w := self.read(t)))
 
 
 def words_of(text: str, restorer: Restorer | None) -> set[str]:
-    """Distinct words of a text in lower case without marks around them, with what is restored."""
-    strip = "\"'.,;:!?()[]{}<>*#%&$@|/\\-_=+~`0123456789"
-    out = {w.strip(strip) for w in set(text.lower().split())}
-    if restorer:
-        out.update(restorer.restored(text))
+    """Distinct words of a text (restored, if there's a restorer) in lower case without marks around them."""
+    out = restorer.words(text) if restorer else {w.strip(_STRIP) for w in set(text.lower().split())}
     out.discard("")
     return out
 
 
 def marks_of(words: set[str]) -> set[str]:
-    """Features: words (up to 30 characters), and beginnings of longer ones."""
-    out = {"=" + w for w in words if len(w) <= 30}
+    """Features: words of up to ``WORD`` letters, and beginnings of words."""
+    out = {"=" + w for w in words if len(w) <= WORD}
     for n in PREFIXES:
         out |= {w[:n] for w in words if len(w) > n}
     return out
@@ -260,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, id_col: st
     counts = train.mapInArrow(count, "mark string, n long, toxic long").groupBy("mark").agg(F.sum(F.expr("n * toxic")).alias("p"), F.sum(F.expr("n * (1 - toxic)")).alias("q"))
     expected = (F.col("p") + F.col("q")) * (pos / (pos + neg))
     surprise = (F.col("p") - expected) / F.sqrt(expected * (neg / (pos + neg)) + 0.25)
-    top = counts.where(F.col("p") >= MIN_TOXIC).withColumn("z", surprise).where("z > 4").orderBy(F.desc("z"), "mark").limit(MAX_FEATURES).collect()
+    top = counts.where(F.col("p") >= MIN_TOXIC).withColumn("z", surprise).where(F.col("z") > MIN_SURPRISE).orderBy(F.desc("z"), "mark").limit(MAX_FEATURES).collect()
     marks = [r["mark"] for r in top]
     language = LanguageModel(corpus, word_trigrams({r["mark"][1:]: r["p"] for r in top if r["mark"][0] == "=" and r["q"] * 4 < r["p"]}))
     index = {m: i for i, m in enumerate(marks)}
@@ -318,7 +336,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED
 
 
 def clean(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that score below 0.5, whole."""
+    """The rows of ``docs`` that score below 0.5, whole.
+
+    Null and empty texts score as a text without any feature, which is below 0.5 where
+    most labelled rows are clean. Repeated rows stay or go together; an empty table stays
+    empty, and without labels of both kinds every row stays.
+    """
     ship(docs.sparkSession)
     model = fit(docs, labels, most, id_col, text_col)
     at = docs.columns.index(text_col)
