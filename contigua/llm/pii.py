@@ -5,8 +5,9 @@ always count, and added kinds that need judgement. Three labelers (form, gazette
 context) vote for, against or not at all on every candidate. The counts of vote
 patterns over all documents are a table of bounded size; expectation-maximisation on it
 estimates each labeler's reliability per kind and the share of true spans, without
-labels. The posteriors of the patterns then train a span classifier (logistic
-regression on votes and shape), which decides on added spans and scores all of them.
+labels. The posteriors then train a span classifier: a logistic regression on the votes
+and on what the labelers don't see of a span (its length, its share of digits, what
+stands before and after it), which decides on added spans and scores all of them.
 """
 
 from __future__ import annotations
@@ -30,12 +31,25 @@ ADDED_KINDS = ["email_spelled", "phone_local", "national_id", "iban", "person"]
 KINDS = BASE_KINDS + ADDED_KINDS
 
 # Gazetteers and context words (lower case).
-DOMAINS = frozenset("com net org edu gov io info biz de fr es uk eu us ch at it nl example test".split())
+DOMAINS = frozenset((
+    "com net org edu gov mil int info biz name pro eu io co ai app dev me tv cc online site shop tech cloud blog example test invalid "
+    "at au be br ca ch cl cn cz de dk es fi fr gr hk hu ie il in it jp kr lu mx nl no nz pl pt ro ru se sg si sk tr tw ua uk us za"
+).split())
 ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65", "35", "30", "36", "38")
-CALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "55", "61", "64", "81", "82", "86", "90", "91")
+# Calling codes: those of one or two digits, and the first two digits of those of three.
+CALLING = tuple((
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 "
+    "21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 85 88 96 97 99"
+).split())
 COUNTRIES = frozenset("AT BE CH CZ DE DK ES FI FR GB GR HU IE IT LU NL NO PL PT SE".split())
 TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Sra")
-NAMES = frozenset("anna maria john peter paul thomas michael sarah laura julia david daniel jean pierre marie claire jose juan carlos carmen lucia hans klaus heike sabine robert james mary linda emma sophie".split())
+NAMES = frozenset((
+    "adam alan albert alex alice amy andrew anna anne arthur barbara ben brian carol charles charlotte chris daniel david diana donald edward elizabeth emily emma eric frank george grace hannah helen henry jack "
+    "james jane jennifer john joseph julia karen kevin laura linda lisa lucy mark martin mary michael nancy nicole oliver patricia paul peter rachel richard robert ruth sam sarah scott sophie steven susan thomas "
+    "tom william andreas bernd dieter frank franz gerd hans heike heinz ingrid jens jürgen karin karl klaus lukas manfred monika petra sabine stefan ursula uwe wolfgang antoine camille chantal chloe claire "
+    "françois isabelle jacques jean julien luc marie michel monique nathalie nicolas philippe pierre rene alejandro ana antonio carlos carmen diego elena fernando francisco javier jorge jose juan lucia luis "
+    "manuel maria miguel pablo pedro pilar rosa"
+).split())
 CUES = {
     "email": ("mail", "contact", "kontakt", "correo", "write", "courriel"),
     "ip": ("ip", "host", "server", "address", "from"),
@@ -157,9 +171,22 @@ def votes(text: str, start: int, kind: int, end: int) -> tuple[int, int, int]:
     return form, place, context
 
 
-def pattern(text: str, start: int, kind: int, end: int) -> tuple[int, int, int, int, int]:
-    """kind, the votes and a bucket of the length: all that the models see of a span."""
-    return (kind, *votes(text, start, kind, end), min(3, (end - start) // 8))
+def side(text: str, at: int) -> int:
+    """What stands at a place: 0 nothing or white space, 1 a mark, 2 a letter or digit."""
+    if not 0 <= at < len(text) or text[at].isspace():
+        return 0
+    return 2 if text[at].isalnum() else 1
+
+
+def pattern(text: str, start: int, kind: int, end: int) -> tuple[int, ...]:
+    """kind, the votes, and what only the classifier sees: buckets of length and of the digits' share, what stands on both sides."""
+    digits = sum(c.isdigit() for c in text[start:end])
+    share = 0 if not digits else 1 if 2 * digits < end - start else 2
+    return (kind, *votes(text, start, kind, end), min(3, (end - start) // 8), share, side(text, start - 1), side(text, end))
+
+
+#: Values that each place of a pattern after the votes can take.
+SEEN = (4, 3, 3, 3)
 
 
 class SpanModel:
@@ -190,18 +217,22 @@ class SpanModel:
 
     @staticmethod
     def features(key: tuple) -> np.ndarray:
-        x = np.zeros(len(KINDS) + 10)
+        k = len(KINDS)
+        x = np.zeros(k + 6 + sum(SEEN))
         x[key[0]] = 1
-        x[len(KINDS) : len(KINDS) + 3] = [v > 0 for v in key[1:4]]
-        x[len(KINDS) + 3 : len(KINDS) + 6] = [v < 0 for v in key[1:4]]
-        x[len(KINDS) + 6 + key[4]] = 1
+        x[k : k + 3] = [v > 0 for v in key[1:4]]
+        x[k + 3 : k + 6] = [v < 0 for v in key[1:4]]
+        at = k + 6
+        for n, value in zip(SEEN, key[4:], strict=True):
+            x[at + value] = 1
+            at += n
         return x
 
     def _fit(self, keys: list[tuple], n: np.ndarray, post: np.ndarray) -> np.ndarray:
+        w = np.zeros(len(KINDS) + 6 + sum(SEEN))
         if not keys:
-            return np.zeros(len(KINDS) + 10)
-        x = np.array([self.features(k) for k in keys])
-        w, n = np.zeros(x.shape[1]), n / n.sum()
+            return w
+        x, n = np.array([self.features(k) for k in keys]), n / n.sum()
         for _ in range(30):  # Newton steps on the penalised likelihood
             p = 1 / (1 + np.exp(-x @ w))
             g = x.T @ (n * (p - post)) + 1e-4 * w
@@ -214,7 +245,7 @@ class SpanModel:
 
 
 def pattern_counts(docs: DataFrame, text_col: str = "text") -> dict[tuple, int]:
-    """How often each pattern comes up over all documents; at most 9 x 27 x 4 rows reach the driver."""
+    """How often each pattern comes up over all documents; at most 9 x 27 x 108 rows reach the driver."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -225,10 +256,10 @@ def pattern_counts(docs: DataFrame, text_col: str = "text") -> dict[tuple, int]:
                     base = base_spans(text)
                     seen.update(pattern(text, *s) for s in base + added_candidates(text, base))
         keys = list(seen)
-        yield pa.RecordBatch.from_pydict({c: pa.array([k[i] for k in keys], pa.int32()) for i, c in enumerate("kabcl")} | {"n": pa.array([seen[k] for k in keys], pa.int64())})
+        yield pa.RecordBatch.from_pydict({c: pa.array([k[i] for k in keys], pa.int32()) for i, c in enumerate("kabcldxy")} | {"n": pa.array([seen[k] for k in keys], pa.int64())})
 
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "k int, a int, b int, c int, l int, n long")
-    return {tuple(r[:5]): r[5] for r in counted.groupBy(*"kabcl").agg(F.sum("n").alias("n")).collect()}
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "k int, a int, b int, c int, l int, d int, x int, y int, n long")
+    return {tuple(r[:8]): r[8] for r in counted.groupBy(*"kabcldxy").agg(F.sum("n").alias("n")).collect()}
 
 
 def tell(spans: list[tuple[int, int, int]]) -> str:
@@ -245,7 +276,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and, if ``full``, found (with scores).
 
     Offsets are code points, ends exclusive; spans of different kinds may overlap. Null
-    text is empty. Equal rows give equal rows; other columns are ignored.
+    text is empty. Equal rows give equal rows; an empty table gives none; other columns
+    are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -279,6 +311,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
 
     Spans that overlap are replaced together, under the kind of the first. A null text
     stays null; other columns stay as they are. ``n_chars``, where there is one, follows.
+    Repeated rows are redacted alike, an empty table stays empty.
     """
     ship(docs.sparkSession)
     model = SpanModel(counts := pattern_counts(docs, text_col))
