@@ -1,13 +1,8 @@
 """Queries on the whole of their table: every row, every pair, whole sequences."""
 
 import random
-import re
 from collections import Counter
-from itertools import combinations
 
-import numpy as np
-
-from contigua.llm import packing, secrets, toxicity
 from contigua.operators import chain, structure
 from contigua.plans import catalogue
 from contigua.plans import views as v
@@ -72,13 +67,6 @@ def test_inversion_fills_what_no_placement_covers(spark):
     ]
 
 
-def test_a_rule_with_too_many_clauses_scans_every_text(spark):
-    rule, texts = r"[a-h][a-h]xy[0-9]+", ["an abxy12 and hhxy7", "none xy1", "gaxy0"]
-    assert secrets.trigram_query(rule) is None
-    rows = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), added={"wide": (rule, 0, 5)}).collect()
-    assert {r.doc_id: r.spans for r in rows} == {i: ",".join(f"wide:{m.start()}:{m.end()}" for m in re.finditer(rule, t) if len(m.group()) >= 5) for i, t in enumerate(texts)}
-
-
 def test_chains_name_their_members(spark):
     r = random.Random(5)
     hits = [(k, a, a + r.randrange(1, 9), b, b + r.randrange(1, 9), r.randrange(3)) for k in range(25) for a, b in ((r.randrange(30), r.randrange(30)) for _ in range(8))]
@@ -107,23 +95,3 @@ def test_members_add_up_to_the_scores(spark):
     assert got == score
     n = Counter(r.seq for r in catalogue.marker_lis_members(spark, SF).collect())
     assert n == {r.seq: r.n_markers for r in catalogue.marker_lis(spark, SF).collect()}
-
-
-def test_packing_has_the_least_padding_of_all_boundaries(spark, monkeypatch):
-    lengths = [9] * 40 + [0, 1, 13, 14, 14, 30, 31, 47, 47, 47]
-    docs = spark.createDataFrame([(i, " ".join(["w"] * n)) for i, n in enumerate(lengths)], "doc_id long, text string")
-    places = sorted({max(n, 1) for n in lengths})
-    least = min(sum(min(e for e in [*x, 47] if e >= n) - n for n in lengths) for k in range(3) for x in combinations(places[:-1], k))
-    rows = packing.pack(docs, buckets=3).collect()
-    assert len(rows) == len(lengths) and sum(r.padding for r in rows) == least
-    # On the grid each boundary is a length that is there.
-    monkeypatch.setattr(packing, "MOST_LENGTHS", 3)
-    rows = packing.pack(docs, buckets=3).collect()
-    assert len(rows) == len(lengths) and all(r.padding >= 0 for r in rows) and {r.bucket_len for r in rows} <= set(places)
-
-
-def test_long_disguises_and_closing_marks_are_restored():
-    restorer = toxicity.Restorer(toxicity.LanguageModel(np.ones((28, 28, 28)), np.zeros((28, 28, 28))))
-    n = lambda text: len(restorer.restored(text))
-    assert n("x " + "ab1" * 20 + "c") == 1 and n("stu" + "u" * 90 + "pid") == 1 and n(" ".join("stupid" * 20)) == 1 and n("q1w" * 20_000) == 1
-    assert n("so a$$, he") == 1 and n("an as5") == 1 and n("hello! (yes)") == 0
