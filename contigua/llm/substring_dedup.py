@@ -191,8 +191,13 @@ def check_bytes(windows: float) -> int:
     return min(8, max(1, math.ceil(bits / 8)))
 
 
-def with_blocks(rows: DataFrame, blocks: int) -> DataFrame:
-    """Adds ``block``: numbers that grow with doc_id; null ids come in the last one."""
+def with_blocks(rows: DataFrame, blocks: int, without_id: int = 1) -> DataFrame:
+    """Adds ``block``: numbers that grow with doc_id; null ids come in the last ``without_id`` ones, dealt out by their texts."""
+    last = F.lit(1 << 40) + F.pmod(F.xxhash64("text"), F.lit(without_id))
+    return _id_blocks(rows, blocks).withColumn("block", F.when(F.col("doc_id").isNull(), last).otherwise(F.col("block")).cast("long"))
+
+
+def _id_blocks(rows: DataFrame, blocks: int) -> DataFrame:
     cuts = min(blocks, MAX_CUTS)
     fine = -(-blocks // cuts)
     found = rows.agg(F.percentile_approx(F.col("doc_id").cast("double"), [i / cuts for i in range(1, cuts)], max(10_000, 20 * cuts)).alias("q"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
@@ -219,17 +224,19 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ``size`` consecutive words of one document; a word goes if some window that covers
     it also starts earlier (smaller id, or earlier in the same document). Null text has
     no words, a text shorter than a window loses none. Rows that repeat an id count as
-    documents one after the other, ordered by text; null ids come last. The documents
-    of a block, ``block_bytes`` on average, are worked on together.
+    documents one after the other, ordered by text; null ids come last, in an order that
+    their texts fix. The documents of a block, ``block_bytes`` on average, are worked on
+    together. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    own_bytes = F.octet_length("text")
+    total, nulls = (x or 0 for x in rows.agg(F.sum(own_bytes), F.sum(F.when(F.col("doc_id").isNull(), own_bytes))).first())
     blocks = max(MIN_BLOCKS, math.ceil(total / block_bytes))
     ranges = max(MIN_BLOCKS, math.ceil(total / RANGE_BYTES))
     check = check_bytes(total / 2)  # a window starts at a word, and a word has two bytes with its space
-    placed = with_blocks(rows, blocks).select("block", "doc_id", "text")
+    placed = with_blocks(rows, blocks, max(1, math.ceil(nulls / block_bytes))).select("block", "doc_id", "text")
 
     def distinct_windows(t: pa.Table) -> pa.Table:
         block = t.column("block")[0].as_py()
