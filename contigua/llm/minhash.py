@@ -43,6 +43,32 @@ GROUP = 500
 
 def shingles(texts: list[str], size: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's runs of ``size`` words; fewer words are one shingle, none are none."""
+    return [np.unique(r) for r in shingle_runs(texts, size)]
+
+
+def counted(texts: list[str], size: int = SHINGLE) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The same with how often each comes."""
+    both = [np.unique(r, return_counts=True) for r in shingle_runs(texts, size)]
+    return [b[0] for b in both], [b[1] for b in both]
+
+
+def measured(texts: list[str], weighted: bool) -> tuple[list[np.ndarray], list]:
+    """Elements of each text and their weights, None where each weighs 1."""
+    return counted(texts) if weighted else (shingles(texts), [None] * len(texts))
+
+
+def reach(a: np.ndarray, m: np.ndarray | None, b: np.ndarray, n: np.ndarray | None, similarity: float) -> bool:
+    """Whether two sets (with weights) have the Jaccard similarity."""
+    if m is None or n is None:
+        same, both = len(np.intersect1d(a, b, assume_unique=True)), len(a) + len(b)
+    else:
+        _, x, y = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+        same, both = int(np.minimum(m[x], n[y]).sum()), int(m.sum() + n.sum())
+    return same >= similarity * (both - same)
+
+
+def shingle_runs(texts: list[str], size: int) -> list[np.ndarray]:
+    """Hashes of each text's runs of ``size`` words in order."""
     words = [t.encode().split() for t in texts]
     hashes = word_hashes(b" ".join([b" ".join(w) for w in words if w]))
     runs = window_hashes(hashes, _SHINGLE_BASE, size)
@@ -50,7 +76,7 @@ def shingles(texts: list[str], size: int = SHINGLE) -> list[np.ndarray]:
     for w in words:
         n = len(w)
         if n >= size:
-            out.append(np.unique(runs[at : at + n - size + 1]))
+            out.append(runs[at : at + n - size + 1])
         elif n:
             out.append(window_hashes(hashes[at : at + n], _SHINGLE_BASE, n) ^ _U(n))
         else:
@@ -125,16 +151,16 @@ def band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mixed(out + np.arange(1, bands + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def signatures(rows: DataFrame, bands: int, rows_of_band: int) -> DataFrame:
+def signatures(rows: DataFrame, bands: int, rows_of_band: int, weighted: bool = False) -> DataFrame:
     """(doc_id, copy, bands, sig): digest of the word sequence, band hashes, the coordinates' low bytes. Without words: none."""
     k = bands * rows_of_band + EXTRA
 
     def run(batches):
         for b in batches:
             texts = b.column(1).to_pylist()
-            sets = shingles(texts)
+            sets, weights = measured(texts, weighted)
             some = [i for i, s in enumerate(sets) if len(s)]
-            sig = dart_signatures([sets[i] for i in some], k)
+            sig = dart_signatures([sets[i] for i in some], k, [weights[i] for i in some] if weighted else None)
             hashes = band_hashes(sig[:, : bands * rows_of_band], bands, rows_of_band)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -205,8 +231,8 @@ def compared(members: DataFrame, leaders: DataFrame, k: int, similarity: float)
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs (a, b) whose shingle sets have the similarity. Grouped by b, in groups of bounded size."""
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float, weighted: bool = False) -> DataFrame:
+    """Those pairs (a, b) whose shingle sets (or counts) have the similarity. Grouped by b, in groups of bounded size."""
     n = pairs.groupBy("b").agg(F.count("*").alias("n")).where(f"n > {GROUP}").select(F.col("b").alias("big"), F.ceil(F.col("n") / GROUP).cast("int").alias("parts"))
     placed = pairs.join(n, F.col("b") == F.col("big"), "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
     # Each group needs the text of its centre once and those of its members.
@@ -215,35 +241,35 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
     def run(t: pa.Table) -> pa.Table:
         ids, centre = t.column("doc").to_pylist(), t.column("b")[0].as_py()
-        own = shingles([t.column("text")[ids.index(centre)].as_py()])[0]
+        own, own_n = (x[0] for x in measured([t.column("text")[ids.index(centre)].as_py()], weighted))
         good = []
         for at in range(0, len(ids), 50):
-            for i, s in zip(ids[at : at + 50], shingles(t.column("text").slice(at, 50).to_pylist()), strict=True):
-                if i != centre:
-                    same = len(np.intersect1d(own, s, assume_unique=True))
-                    if same >= similarity * (len(own) + len(s) - same):
-                        good.append(i)
+            for i, s, n in zip(ids[at : at + 50], *measured(t.column("text").slice(at, 50).to_pylist(), weighted), strict=True):
+                if i != centre and reach(own, own_n, s, n, similarity):
+                    good.append(i)
         return pa.table({"a": pa.array(good, pa.int64()), "b": pa.array([centre] * len(good), pa.int64())})
 
     return rows.groupBy("b", "part").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows_of_band: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows_of_band: int = ROWS, weighted: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, rep_id.
 
     Documents are linked when the Jaccard similarity of their sets of five-word shingles
+    (every element weighs 1) or, if ``weighted``, of their counts of shingles (an element
+    weighs as often as it comes, so the sum of the lesser counts over that of the greater)
     is ``similarity`` or more; a class is what links connect, its id the smallest doc_id
     in it. rep_id is the smallest id with the same words. Texts of one to four words have
     one shingle, texts without words (null too) none: these are classes of their own. Rows
     that repeat an id share a class; rows without an id are not compared and have no class.
     A pair of similarity 0.8 shares no bucket or is held hopeless with probability 1e-4, one of
-    0.85 with less than 1e-6.
+    0.85 with less than 1e-6. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
     k = bands * rows_of_band + EXTRA
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = cut(signatures(rows.where("doc_id is not null"), bands, rows_of_band), "signatures")
+    signed = cut(signatures(rows.where("doc_id is not null"), bands, rows_of_band, weighted), "signatures")
     copies = signed.groupBy("copy").agg(F.min("doc_id").alias("rep"))
     size, wide = signed.count(), 8 * bands + k + 32
     owner = cut(compact(signed.select("doc_id", "copy").join(copies, "copy").select("doc_id", "rep"), size), "copies")
@@ -256,7 +282,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = cut(likely(star, reps, k, similarity), "pairs")
     in_bucket = held.select(F.col("rep").alias("w_id")).distinct()
     texts = cut(rows.join(in_bucket, F.col("doc_id") == F.col("w_id"), "left_semi").select(F.col("doc_id").alias("t_id"), "text").join(owner.where("doc_id = rep").select(F.col("rep").alias("o")).distinct(), F.col("t_id") == F.col("o"), "left_semi").dropDuplicates(["t_id"]), "texts")
-    links = cut(verified(pairs, texts, similarity), "links")
+    links = cut(verified(pairs, texts, similarity, weighted), "links")
     labels = components(links)
     tested, leaders, most = pairs.withColumnsRenamed({"a": "p_a", "b": "p_b"}), None, 4
     open_members = cut(held.where("n > 2").join(reps.select(F.col("rep").alias("s_rep"), "sig", "bands"), F.col("rep") == F.col("s_rep")).select("rep", "bucket", "n", "sig", "bands"), "open")
@@ -278,7 +304,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         # A member meets at most ``most`` leaders of a bucket; that bounds the rows.
         fresh = cut(compact(compared(marked, some, k, similarity).join(tested, (F.col("a") == F.col("p_a")) & (F.col("b") == F.col("p_b")), "left_anti"), n_open * most), "fresh")
-        more = cut(verified(fresh, texts, similarity), "links")
+        more = cut(verified(fresh, texts, similarity, weighted), "links")
         drop_cut(marked)  # leaders hold what later rounds need of it
         tested = tested.unionByName(fresh.select(F.col("a").alias("p_a"), F.col("b").alias("p_b")))
         leaders = some.select("rep", "bucket") if leaders is None else leaders.unionByName(some.select("rep", "bucket"))
