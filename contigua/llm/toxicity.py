@@ -145,7 +145,8 @@ class Restorer:
             return bool(_REPEAT.search(core))
         return not _PLAIN.match(core)
 
-    def _decode(self, token: str) -> str:
+    def _decode(self, token: str, apart: bool = False) -> str:
+        """The likeliest reading; of letters set ``apart``, any of them may begin another word."""
         # Columns of the lattice: (reading, channel cost); a run of a letter may shrink to two or one.
         columns: list[list[tuple[str, float]]] = []
         for m in re.finditer(r"(.)\1*", token.lower(), re.S):
@@ -176,6 +177,14 @@ class Restorer:
                         x, y = y, z
                     if (x, y) not in after or s > after[x, y][0]:
                         after[x, y] = (s, (path, r))
+                    if apart and path is not None:
+                        x, y, s = 0, 0, score + cost + log[a][b][0]
+                        for ch in r:
+                            z = ord(ch) - 96 if "a" <= ch <= "z" else 27
+                            s += log[x][y][z]
+                            x, y = y, z
+                        if (x, y) not in after or s > after[x, y][0]:
+                            after[x, y] = (s, (path, " " + r))
             best = after
         ends = [(s + log[a][b][0], p) for (a, b), (s, p) in best.items()]
         most = max(s for s, _ in ends)
@@ -190,8 +199,8 @@ class Restorer:
         return "".join(reversed(out))
 
     def together(self, text: str) -> str:
-        """``text`` in lower case with letters set apart put together."""
-        return _APART.sub(lambda m: " " + self._decode(re.sub(r"[ .*_-]", "", m.group())) + " ", text).lower()
+        """``text`` in lower case with letters set apart put together to words."""
+        return _APART.sub(lambda m: " " + self._decode(re.sub(r"[ .*_-]", "", m.group()), True) + " ", text).lower()
 
     def words(self, text: str) -> set[str]:
         """The distinct words of the restored text."""

@@ -130,7 +130,8 @@ def test_weighted_signatures_estimate_similarity():
 
 
 def test_bpe(docs, texts):
-    tokenizers = pytest.importorskip("tokenizers")
+    import tokenizers
+
     ref = tokenizers.Tokenizer.from_file(path())
     mine = bpe.tokenizer(path())
     rng = random.Random(1)
@@ -217,7 +218,7 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(a == b for a, b in held) >= 0.97 * len(held)
     assert sum(a == b == 1 for a, b in held) >= 0.8 * sum(a for a, _ in held)
     restorer = toxicity.Restorer(toxicity.fit(d, labels).language)
-    assert [restorer.word(w) for w in ("1d10t", "stuuuupid", "tra$h")] == ["idiot", "stupid", "trash"] and restorer.restored("so s t u p i d here") == ["stupid"]
+    assert [restorer.word(w) for w in ("1d10t", "stuuuupid", "tra$h")] == ["idiot", "stupid", "trash"] and restorer.restored("so s t u p i d here") == "so stupid here"
 
 
 def test_pipeline(spark, texts):
