@@ -72,6 +72,31 @@ def coverage_category(value: Column, median: Column) -> Column:
     return F.when(value <= 0.1 * median, "0").when(value <= 0.6 * median, "1").when(value < 2.4 * median, "2").otherwise("H")
 
 
+def direction(places: Column) -> Column:
+    """Where an array of map positions leads: single, +, -, or undetectable where rises and falls are as many.
+
+    Equal neighbours are neither; without any rise it is -, as for positions that are all equal.
+    """
+    steps = F.zip_with(F.slice(places, F.lit(1), F.greatest(F.size(places) - 1, F.lit(0))), F.slice(places, F.lit(2), F.size(places)), lambda a, b: F.signum(b - a))
+    up, down = F.size(F.filter(steps, lambda x: x > 0)), F.size(F.filter(steps, lambda x: x < 0))
+    return F.when(F.size(places) < 2, "single").when(up == 0, "-").when(down == 0, "+").when(up > down, "+").when(up < down, "-").otherwise("undetectable")
+
+
+def mapq(matches: Column, length: Column) -> Column:
+    """Pseudo mapping quality: 255 for no match at all, 0 where every base matches, cut to a whole number."""
+    return F.floor(255 * (1 - matches / length)).cast("int")
+
+
+def alt_strategy(left: Column, middle: Column, right: Column) -> Column:
+    """How to patch a gap from the mate's regions; haploid ones tell nothing there. Null for none."""
+    side = lambda c, name: F.when(c.isin("DIP", "OK"), name).when(c == "REP", "rep")
+    a, b = side(left, "left"), side(right, "right")
+    own = F.when(middle == "DIP", "altF").when(middle == "OK", "alt").when(middle == "REP", "altR")
+    # A repeat on the left needs sequence on the right, one on the right sequence on the left.
+    flank = F.when(a == "left", F.concat_ws(":", F.lit("left"), F.when(b.isNotNull(), F.lit("gap")), b)).when(b == "right", F.when(a == "rep", F.lit("rep:gap:right")).otherwise(F.lit("right")))
+    return F.when(own.isNotNull(), F.concat_ws(":", a, own, b)).otherwise(flank)
+
+
 def patch_strategy(left: Column, middle: Column, right: Column) -> Column:
     """How to patch a gap from the classes of its left, middle and right regions; null for none."""
     side = lambda c, name: F.when(c.isin("DIP", "OK", "HAP"), name).when(c == "REP", "rep")

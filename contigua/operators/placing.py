@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contigua.operators.chain import most_markers
-from contigua.session import ship
+from contigua.session import cut, ship
 
 
 def assigned(marks: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def place(seqs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def two_haplotypes(seqs: DataFrame, pairs: DataFrame, mates: DataFrame) -> DataFrame:
     """(haplotype, chr, seq, ord): the second is placed from what the first and its mates leave."""
-    first = place(seqs, pairs)
+    first = cut(place(seqs, pairs), "first-haplotype")
     used = first.select(F.col("seq").alias("u")).distinct()
     out = used.union(mates.join(used, F.col("a") == F.col("u")).select("b")).union(mates.join(used, F.col("b") == F.col("u")).select("a")).distinct()
     second = place(seqs.join(out, F.col("seq") == F.col("u"), "left_anti"), pairs)
@@ -117,13 +117,14 @@ def two_haplotypes(seqs: DataFrame, pairs: DataFrame, mates: DataFrame) -> DataF
 def projected(start, stop, from_start, from_end, to_start, to_end, strand, length):
     """Struct (start, stop) of a span's place in the mate of the range that holds it; null if it falls outside.
 
-    Distances to both ends are kept; a mate without extent gives its place, ends that cross their middle.
+    Distances to both ends are kept; a mate without extent gives its place. Ends that cross
+    give the middle of the mate, unless the start lies beyond it or the end before it.
     """
     left, right = start - from_start, from_end - stop
     plus = strand == "+"
     a = F.least(F.when(plus, to_start + left).otherwise(to_start + right), length)
     b = F.greatest(F.when(plus, to_end - right).otherwise(to_end - left), F.lit(0))
-    mid = F.floor((a + b) / 2)
-    inside = (mid >= to_start) & (mid <= to_end)
+    mid = F.floor((to_start + to_end) / 2)
+    inside = (a <= to_end) & (b >= to_start)
     span = lambda x, y: F.struct(x.cast("long").alias("start"), y.cast("long").alias("stop"))
     return F.when(to_start == to_end, span(to_start, to_start)).when(a <= b, span(a, b)).when(inside, span(mid, mid))

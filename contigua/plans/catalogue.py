@@ -66,16 +66,11 @@ def agp_ranges(s, d):
     return agp(s, d).where("ctype = 'W'").groupBy(F.col("comp").alias("seq"), F.col("comp_start").alias("start"), F.col("comp_end").alias("stop")).agg(F.count("*").alias("n"))
 
 
-@query("select comp as obj, row_number() over (partition by comp order by comp_start, obj, obj_start) as part, comp_start as obj_start, comp_end as obj_end, obj as comp, obj_start as comp_start, obj_end as comp_end, strand from v_agp where ctype = 'W'")
-def agp_invert(s, d):
-    return structure.invert(agp(s, d))
-
-
 @query(""", i as (select comp as obj, comp_start as obj_start, comp_end as obj_end, obj as comp, obj_start as comp_start, obj_end as comp_end, strand from v_agp where ctype = 'W'),
 l as (select p_partkey as obj, max(m) as len from part, (select max(len) as m from v_comp) group by 1), u as (select obj, max(obj_end) as reach from i group by obj),
 a as (select * from i union all select l.obj, coalesce(reach, 0), len, l.obj, coalesce(reach, 0), len, '+' from l left join u using (obj) where coalesce(reach, 0) < len)
 select obj, row_number() over (partition by obj order by obj_start, comp, comp_start, obj_end) as part, obj_start, obj_end, comp, comp_start, comp_end, strand from a""")
-def agp_invert_filled(s, d):
+def agp_invert(s, d):
     """Every component as long as the longest placement of any; placements begin at 0, so only ends are free."""
     longest = v.comp(s, d).agg(F.max("len").alias("len"))  # one row
     lengths = table(s, d, "part").select(F.col("p_partkey").alias("comp")).crossJoin(F.broadcast(longest))
@@ -96,52 +91,28 @@ def agp_overlap_components(s, d):
     return structure.reused(agp(s, d)).select("obj", "part", "comp", "comp_start", "comp_end")
 
 
-LIFT = """, lift as (select id, obj, case when strand = '+' then obj_start + start - comp_start else obj_start + comp_end - "end" end as a, "end" - start as n, case when (strand = '+') = (f_strand = '+') then '+' else '-' end as strand
-from v_feat join v_agp using (comp) where ctype = 'W' and start >= comp_start and "end" <= comp_end) """
+LIFT = v.FEATURE_SQL + """, lift as (select id, obj, case when strand = '+' then obj_start + start - comp_start else obj_start + comp_end - "end" end as a, "end" - start as n, case when (strand = '+') = (f_strand = '+') then '+' else '-' end as strand
+from v_feature join v_agp using (comp) where ctype = 'W' and start >= comp_start and "end" <= comp_end) """
 
 
 @query(LIFT + "select id, obj, a as start, a + n as stop, strand from lift")
 def liftover_features(s, d):
-    return structure.liftover(v.feat(s, d), agp(s, d)).withColumnRenamed("end", "stop")
+    return structure.liftover(v.feature(s, d), agp(s, d)).withColumnRenamed("end", "stop")
 
 
-@query('select id from v_feat f where not exists (select 1 from v_agp a where a.comp = f.comp and f."end" <= a.comp_end)')
+@query(v.FEATURE_SQL + ' select id from v_feature f where not exists (select 1 from v_agp a where a.comp = f.comp and f."end" <= a.comp_end)')
 def liftover_dropped(s, d):
-    return structure.dropped(v.feat(s, d), agp(s, d)).select("id")
+    return structure.dropped(v.feature(s, d), agp(s, d)).select("id")
 
 
 @query(LIFT + "select id, obj, a as start, id || '.' || row_number() over (partition by id order by obj, a, strand) as name from lift")
 def liftover_multi_suffix(s, d):
     w = Window.partitionBy("id").orderBy("obj", "start", "strand")
-    return structure.liftover(v.feat(s, d), agp(s, d)).select("id", "obj", "start", F.concat("id", F.lit("."), F.row_number().over(w)).alias("name"))
+    return structure.liftover(v.feature(s, d), agp(s, d)).select("id", "obj", "start", F.concat("id", F.lit("."), F.row_number().over(w)).alias("name"))
 
 
 @query(LIFT + "select obj, count(*) as n_features, cast(min(a) as bigint) as first_start, cast(max(a + n) as bigint) as last_stop from lift group by obj")
 def structure_and_liftover(s, d):
-    return structure.liftover(v.feat(s, d), agp(s, d)).groupBy("obj").agg(F.count("*").alias("n_features"), F.min("start").alias("first_start"), F.max("end").alias("last_stop"))
-
-
-LIFT_ALL = v.FEATURE_SQL + LIFT.replace("v_feat ", "v_feature ")
-
-
-@query(LIFT_ALL + "select id, obj, a as start, a + n as stop, strand from lift")
-def liftover_features_all(s, d):
-    return structure.liftover(v.feature(s, d), agp(s, d)).withColumnRenamed("end", "stop")
-
-
-@query(v.FEATURE_SQL + ' select id from v_feature f where not exists (select 1 from v_agp a where a.comp = f.comp and f."end" <= a.comp_end)')
-def liftover_dropped_all(s, d):
-    return structure.dropped(v.feature(s, d), agp(s, d)).select("id")
-
-
-@query(LIFT_ALL + "select id, obj, a as start, id || '.' || row_number() over (partition by id order by obj, a, strand) as name from lift")
-def liftover_multi_suffix_all(s, d):
-    w = Window.partitionBy("id").orderBy("obj", "start", "strand")
-    return structure.liftover(v.feature(s, d), agp(s, d)).select("id", "obj", "start", F.concat("id", F.lit("."), F.row_number().over(w)).alias("name"))
-
-
-@query(LIFT_ALL + "select obj, count(*) as n_features, cast(min(a) as bigint) as first_start, cast(max(a + n) as bigint) as last_stop from lift group by obj")
-def structure_and_liftover_all(s, d):
     return structure.liftover(v.feature(s, d), agp(s, d)).groupBy("obj").agg(F.count("*").alias("n_features"), F.min("start").alias("first_start"), F.max("end").alias("last_stop"))
 
 
@@ -162,7 +133,11 @@ def ng_table(s, d):
 
 
 def _length_sql(x: str) -> str:
-    return ", ".join([f"count({x}) as n, cast(coalesce(sum({x}), 0) as bigint) as total, min({x}) as least, max({x}) as most, quantile_cont({x}, 0.5) as median"] + [f"count(*) filter ({x} > {c}) as n_over_{c}, cast(coalesce(sum({x}) filter ({x} > {c}), 0) as bigint) as sum_over_{c}" for c in stats.CLASSES])
+    out = [f"count({x}) as n, cast(coalesce(sum({x}), 0) as bigint) as total, round(coalesce(avg({x}), 0), 2) as mean, coalesce(min({x}), 0) as least, coalesce(max({x}), 0) as most, coalesce(quantile_cont({x}, 0.5), 0) as median"]
+    for c in stats.CLASSES:
+        n, total = f"count(*) filter ({x} > {c})", f"coalesce(sum({x}) filter ({x} > {c}), 0)"
+        out.append(f"{n} as n_over_{c}, cast({total} as bigint) as sum_over_{c}, round(coalesce(100.0 * {n} / nullif(count({x}), 0), 0), 2) as n_share_{c}, round(coalesce(100.0 * {total} / nullif(sum({x}), 0), 0), 2) as sum_share_{c}")
+    return ", ".join(out)
 
 
 @query(f"select {_length_sql('length(seq)')} from v_seq")
@@ -170,9 +145,15 @@ def len_stats(s, d):
     return v.seq(s, d).agg(*stats.length_stats(F.length("seq")))
 
 
-@query(f"select {_length_sql('obj_end - obj_start')} from v_agp where ctype = 'N'")
+LEAST_GAP = 10
+
+
+@query(f"select {_length_sql('obj_end - obj_start')}, (select cast(floor(100.0 * sum(obj_end - obj_start) filter (ctype = 'N') / sum(obj_end - obj_start) + 0.5) as bigint) from v_agp) as genome_share from v_agp where ctype = 'N' and obj_end - obj_start >= {LEAST_GAP}")
 def gap_stats(s, d):
-    return agp(s, d).where("ctype = 'N'").agg(*stats.length_stats(F.col("obj_end") - F.col("obj_start")))
+    """Gaps of a least length, and what percentage of the whole they are."""
+    a = agp(s, d).withColumn("n", F.expr("obj_end - obj_start")).withColumn("g", F.expr(f"if(ctype = 'N' and n >= {LEAST_GAP}, n, null)"))
+    share = F.coalesce(F.floor(F.try_divide(100.0 * F.sum("g"), F.sum("n")) + 0.5), F.lit(0))
+    return a.agg(*stats.length_stats(F.col("g")), share.alias("genome_share"))
 
 
 @query("select case when length(seq) > 5000 then 'long' when length(seq) > 500 then 'middle' else 'short' end as class, count(*) as n, cast(sum(length(seq)) as bigint) as total from v_seq group by 1")
@@ -181,7 +162,7 @@ def size_classes(s, d):
     return v.seq(s, d).groupBy(F.when(n > 5000, "long").when(n > 500, "middle").otherwise("short").alias("class")).agg(F.count("*").alias("n"), F.sum(n).alias("total"))
 
 
-@query("select " + ", ".join(f"cast(sum(length(seq) - length(replace(seq, '{x}', ''))) as bigint) as n_{x.lower()}" for x in "ACGTUN") + ", cast(sum(length(translate(seq, 'ACGTUN', ''))) as bigint) as n_other from v_seq")
+@query("select *, round(100.0 * (n_g + n_c) / nullif(n_a + n_c + n_g + n_t + n_u + n_n + n_other, 0), 2) as gc, round(100.0 * (n_g + n_c) / nullif(n_a + n_c + n_g + n_t + n_u, 0), 2) as gc_known from (select " + ", ".join(f"cast(sum(length(seq) - length(replace(seq, '{x}', ''))) as bigint) as n_{x.lower()}" for x in "ACGTUN") + ", cast(sum(length(translate(seq, 'ACGTUN', ''))) as bigint) as n_other from v_seq)")
 def base_content(s, d):
     return v.seq(s, d).agg(*stats.base_counts(F.col("seq")))
 
@@ -219,7 +200,9 @@ def contigs_split(s, d):
     return v.seq(s, d).select("seq_id", F.posexplode(parts).alias("i", "p")).select("seq_id", (F.col("i") + 1).alias("contig"), F.length("p").alias("len"), F.sha2("p", 256).alias("digest"))
 
 
-@query()
+@query(""", p as (select seq_id, seq, regexp_split_to_array(seq, 'N+') as g, regexp_extract_all(seq, 'N+') as m from v_seq),
+k as (select seq_id, list_transform(range(1, len(g) + 1), lambda i: (case when i > 1 and i < len(g) and length(g[i]) between 1 and 9 then repeat('N', length(g[i])) else g[i] end) || coalesce(m[i], '')) as x from p)
+select seq_id, sha256(array_to_string(x, '')) as digest from k""")
 def islet_mask(s, d):
     return v.seq(s, d).select("seq_id", F.sha2(fn.without_islets(F.col("seq")), 256).alias("digest"))
 
@@ -230,7 +213,7 @@ def chunks(s, d):
     return x.select(F.concat_ws("#", "seq_id", "a", F.least(F.col("a") + 1000, F.length("seq"))).alias("name"), F.sha2(F.substr("seq", F.col("a") + 1, F.lit(1000)), 256).alias("digest"))
 
 
-@query(f"select seq_id, sha256(reverse(translate(seq, '{fn.BASES}', '{fn.COMPLEMENTS}'))) as digest from v_seq where seq_id % 4 >= 0")
+@query(f"select seq_id, sha256(reverse(translate(seq, '{fn.BASES}', '{fn.COMPLEMENTS}'))) as digest from v_seq")
 def revcomp(s, d):
     return v.seq(s, d).select("seq_id", F.sha2(fn.reverse_complement(F.col("seq")), 256).alias("digest"))
 
@@ -283,7 +266,7 @@ def nearest_gap(s, d):
     return intervals.nearest(points, a.where("ctype = 'N'").selectExpr("obj", "obj_start as start", "obj_end as end"), "obj")
 
 
-@query('select n.obj, n.part from v_agp n where ctype = \'N\' and not exists (select 1 from v_agp w where w.obj = n.obj and w.ctype = \'W\' and w.strand = \'-\' and w.obj_end = n.obj_start)')
+@query(", a as materialized (select obj, ctype, part, obj_start, obj_end, strand from v_agp), m as materialized (select distinct obj, obj_end as at from a where ctype = 'W' and strand = '-') select a.obj, a.part from a left join m on m.obj = a.obj and m.at = a.obj_start where ctype = 'N' and m.obj is null")
 def masked_gaps_anti(s, d):
     a = agp(s, d)
     mask = a.where("ctype = 'W' and strand = '-'").selectExpr("obj as m_obj", "obj_end as m_end")
@@ -341,12 +324,11 @@ def chr_support_rank(s, d):
     return ranked.groupBy("seq").agg(F.max(F.expr("if(place = 1, chr, null)")).alias("best_chr"), F.max(F.expr("if(place = 1, n, null)")).alias("best"), F.coalesce(F.max(F.expr("if(place = 2, n, null)")), F.lit(0)).alias("second"))
 
 
-@query(JOINED + """, p as (select seq, pos, lead(pos) over (partition by seq order by start, pos) as nxt from j), t as (select seq, count(*) as n, count(*) filter (pos < nxt) as up, count(*) filter (pos >= nxt) as down from p group by seq)
-select seq, case when n = 1 then 'single' when down = 0 then '+' when up = 0 then '-' when up > down then '+' when down > up then '-' else 'undetectable' end as direction from t""")
+@query(JOINED + """, p as (select seq, pos, lead(pos) over (partition by seq order by start, pos) as nxt from j), t as (select seq, count(*) as n, count(*) filter (pos < nxt) as up, count(*) filter (pos > nxt) as down from p group by seq)
+select seq, case when n = 1 then 'single' when up = 0 then '-' when down = 0 then '+' when up > down then '+' when down > up then '-' else 'undetectable' end as direction from t""")
 def marker_orientation(s, d):
-    w = Window.partitionBy("seq").orderBy("start", "pos")
-    t = marker_join(s, d).withColumn("nxt", F.lead("pos").over(w)).groupBy("seq").agg(F.count("*").alias("n"), F.count_if(F.expr("pos < nxt")).alias("up"), F.count_if(F.expr("pos >= nxt")).alias("down"))
-    return t.selectExpr("seq", "case when n = 1 then 'single' when down = 0 then '+' when up = 0 then '-' when up > down then '+' when down > up then '-' else 'undetectable' end as direction")
+    j = marker_join(s, d).groupBy("seq").agg(F.transform(F.sort_array(F.collect_list(F.struct("start", "pos"))), lambda x: x["pos"]).alias("places"))
+    return j.select("seq", fn.direction(F.col("places")).alias("direction"))
 
 
 @query(JOINED + ", r as (select seq, pos, \"end\", cast(1 as bigint) as n from j union all select j.seq, j.pos, j.\"end\", max(r.n) + 1 from r join j on j.seq = r.seq and j.pos > r.pos and j.start >= r.\"end\" group by j.seq, j.pos, j.\"end\", j.start) select seq, max(n) as n_markers from r group by seq", recursive=True)
@@ -411,24 +393,6 @@ def genome_offsets(s, d):
 
 # Copy number and signals
 
-COUNTS = ", c as (select gene % 97 as locus, count(*) filter (chr % 2 = 0) as h1, count(*) filter (chr % 2 = 1) as h2, min(kind) as kind from v_gene where chr % 10 < 7 or gene % 3 = 0 group by 1) "
-
-
-def _copies(s, d):
-    return v.gene(s, d).where("chr % 10 < 7 or gene % 3 = 0").groupBy(F.expr("gene % 97").alias("locus")).agg(F.count_if(F.expr("chr % 2 = 0")).alias("h1"), F.count_if(F.expr("chr % 2 = 1")).alias("h2"), F.min("kind").alias("kind"))
-
-
-@query(COUNTS + "select locus, h1, h2, case when h1 > 0 then round(h2 / h1, 6) end as ratio, count(*) over (partition by kind) as n_kind from c")
-def copy_number_join(s, d):
-    return _copies(s, d).select("locus", "h1", "h2", F.expr("case when h1 > 0 then round(h2 / h1, 6) end").alias("ratio"), F.count("*").over(Window.partitionBy("kind")).alias("n_kind"))
-
-
-@query(COUNTS + ", u as (select locus, unnest(['more_h1', 'more_h2', 'only_h1', 'only_h2']) as flag, unnest([h1 > h2, h2 > h1, h1 > 0 and h2 = 0, h2 > 0 and h1 = 0]) as here from c) select locus, flag from u where here")
-def imbalance_unpivot(s, d):
-    flags = _copies(s, d).selectExpr("locus", "h1 > h2 as more_h1", "h2 > h1 as more_h2", "h1 > 0 and h2 = 0 as only_h1", "h2 > 0 and h1 = 0 as only_h2")
-    return flags.unpivot("locus", ["more_h1", "more_h2", "only_h1", "only_h2"], "flag", "here").where("here").select("locus", "flag")
-
-
 PAIRED = """, f as (select chr, gene, kind, cast(json_extract_string(props, '$.k') as bigint) as k from v_gene), n as (select chr, kind, k, count(*) as n from f group by all), e as (select kind, count(*) as n_kind from f group by 1),
 c as (select f.chr, f.gene, f.kind, coalesce(a.n, 0) as h1, coalesce(b.n, 0) as h2, n_kind from f left join n a on a.chr = f.chr - f.chr % 2 and a.kind is not distinct from f.kind and a.k is not distinct from f.k
   left join n b on b.chr = f.chr - f.chr % 2 + 1 and b.kind is not distinct from f.kind and b.k is not distinct from f.k left join e on e.kind is not distinct from f.kind) """
@@ -448,12 +412,12 @@ def _paired_copies(s, d):
 
 
 @query(PAIRED + "select chr, gene, kind, h1, h2, case when h1 > 0 then round(h2 / h1, 6) end as ratio, n_kind from c")
-def copy_number_pairs(s, d):
+def copy_number_join(s, d):
     return _paired_copies(s, d).select("chr", "gene", "kind", "h1", "h2", F.expr("case when h1 > 0 then round(h2 / h1, 6) end").alias("ratio"), "n_kind")
 
 
 @query(PAIRED + ", u as (select chr, gene, unnest(['more_h1', 'more_h2', 'only_h1', 'only_h2']) as flag, unnest([h1 > h2, h2 > h1, h1 > 0 and h2 = 0, h2 > 0 and h1 = 0]) as here from c) select chr, gene, flag from u where here")
-def imbalance_pairs(s, d):
+def imbalance_unpivot(s, d):
     flags = _paired_copies(s, d).selectExpr("chr", "gene", "h1 > h2 as more_h1", "h2 > h1 as more_h2", "h1 > 0 and h2 = 0 as only_h1", "h2 > 0 and h1 = 0 as only_h2")
     return flags.unpivot(["chr", "gene"], ["more_h1", "more_h2", "only_h1", "only_h2"], "flag", "here").where("here").select("chr", "gene", "flag")
 
@@ -499,9 +463,11 @@ def moving_average(s, d):
     return _cover(s, d).select("chr", "bin", F.floor(F.avg("depth").over(w) + 0.5).alias("mean"))
 
 
-@query(COVER + "select quantile_cont(depth, 0.5) as median from b where bin % 7 <> 0")
+@query(COVER + ", m as (select chr, start // 86400 as bin from v_gene group by all having count(distinct kind) = 1) select quantile_cont(depth, 0.5) as median from b anti join m using (chr, bin)")
 def clean_median(s, d):
-    return _cover(s, d).where("bin % 7 <> 0").groupBy("depth").agg(F.count("*").alias("n")).agg(F.percentile("depth", 0.5, F.col("n")).alias("median"))
+    """Masked are the bins whose features are all of one kind."""
+    mask = v.gene(s, d).groupBy("chr", F.expr("start div 86400").alias("bin")).agg(F.countDistinct("kind").alias("kinds")).where("kinds = 1").select("chr", "bin")
+    return _cover(s, d).join(mask, ["chr", "bin"], "left_anti").groupBy("depth").agg(F.count("*").alias("n")).agg(F.percentile("depth", 0.5, F.col("n")).alias("median"))
 
 
 CAT = COVER + ", k as (select chr, bin, depth, case when depth <= 0.3 then '0' when depth <= 1.8 then '1' when depth < 7.2 then '2' else 'H' end as category from b) "
@@ -512,15 +478,15 @@ def coverage_category(s, d):
     return _cover(s, d).select("chr", "bin", fn.coverage_category(F.col("depth"), F.lit(3.0)).alias("category"))
 
 
-CLASS = CAT + """, c as (select chr, count(*) as n, count(*) filter (category = 'H') as h, count(*) filter (category in ('0', '1')) as l, count(*) filter (category = '2') as t from k group by chr),
-e as (select chr, case when h > 0.75 * n then 'REP' when l > 0.75 * n then 'HAP' when t > 0.75 * n then 'DIP' when t + h > 0.75 * n then 'OK' else 'NO' end as class from c) """
+CLASS = CAT + """, w as (select chr, case when category = 'H' and bin % 3 = 0 then 'R' when category = '0' then 'G' else category end as code from k),
+c as (select chr, count(*) as n, count(*) filter (code = 'G') as g, count(*) filter (code in ('H', 'R')) as r, count(*) filter (code in ('0', '1')) as l, count(*) filter (code = '2') as t from w group by chr) """
 
 
-@query(CLASS + "select chr, class from e")
+@query(CLASS + "select chr, case when 4 * g > 3 * n then 'GAP' when 4 * r > 3 * n then 'REP' when 4 * l > 3 * n then 'HAP' when 4 * t > 3 * n then 'DIP' when 4 * (t + r) > 3 * n then 'OK' else 'NO' end as class from c")
 def region_class(s, d):
-    k = coverage_category(s, d)
-    c = k.groupBy("chr").agg(F.count("*").alias("n"), F.count_if(F.expr("category = 'H'")).alias("h"), F.count_if(F.expr("category in ('0', '1')")).alias("l"), F.count_if(F.expr("category = '2'")).alias("t"))
-    return c.selectExpr("chr", "case when h > 0.75 * n then 'REP' when l > 0.75 * n then 'HAP' when t > 0.75 * n then 'DIP' when t + h > 0.75 * n then 'OK' else 'NO' end as class")
+    """Depth classes with a mask over them: every third bin's high depth counts as a repeat, no depth as a gap."""
+    k = coverage_category(s, d).withColumn("code", F.expr("case when category = 'H' and bin % 3 = 0 then 'R' when category = '0' then 'G' else category end"))
+    return stats.region_classes(k.withColumn("n", F.lit(1)), ["chr"], "code", "n").select("chr", "class")
 
 
 @query("""select l, m, r, case when m in ('DIP', 'OK') then case when sl is not null or sr is not null then 'hybrid_' || concat_ws(':', sl, 'alt', sr) end
@@ -596,24 +562,19 @@ def extremity_overlap(s, d):
     return h.where("qs <= 50000 and matches > 100").join(ends, F.expr("tid = e_tid and te >= len - 5000")).groupBy("tid", "qid").agg(F.max("matches").alias("matches"), F.count("*").alias("n"))
 
 
-@query()
+@query(""", p as (select tid as a, qid as b, cast(sum(matches) as bigint) as score from v_hit group by all), o as materialized (select *, row_number() over (order by score desc, a, b) as n from p where score > 1000),
+r(n, a, b, score, took, ua, ub) as (select cast(0 as bigint), cast(null as bigint), cast(null as bigint), cast(null as bigint), false, cast([] as bigint[]), cast([] as bigint[])
+ union all select o.n, o.a, o.b, o.score, not (list_contains(r.ua, o.a) or list_contains(r.ub, o.b)), case when list_contains(r.ua, o.a) or list_contains(r.ub, o.b) then r.ua else list_append(r.ua, o.a) end, case when list_contains(r.ua, o.a) or list_contains(r.ub, o.b) then r.ub else list_append(r.ub, o.b) end from r join o on o.n = r.n + 1)
+select a, b, score from r where took""", recursive=True)
 def greedy_matching(s, d):
     scores = v.hit(s, d).groupBy(F.col("tid").alias("a"), F.col("qid").alias("b")).agg(F.sum("matches").alias("score"))
     return matching.greedy_matching(scores, 1000)
 
 
-@query(""", o as (select chr, gene as id, start as a, start + 3600 as b from v_gene where gene % 10 = 0),
-r as (select chr, id, a, b, 0 as i from o union all select * from (select r.chr, r.id, least(r.a, min(g.start)) as a, greatest(r.b, max(g."end")) as b, r.i + 1 as i from r join v_gene g on g.chr = r.chr and g.start < r.b and g."end" > r.a group by r.chr, r.id, r.a, r.b, r.i) t where i < 40 and exists (select 1 from r where r.id = t.id and (r.a <> t.a or r.b <> t.b)))
-select chr, id, cast(min(a) as bigint) as a, cast(max(b) as bigint) as b from r group by chr, id""", recursive=True)
-def gene_region_fixpoint(s, d):
-    g = v.gene(s, d)
-    return intervals.grow_regions(g.where("gene % 10 = 0").selectExpr("chr", "gene as id", "start as a", "start + 3600 as b"), g.select("chr", "start", "end"), "chr")
-
-
 @query(""", r as (select chr, gene as id, start as a, start + 3600 as b from v_gene
 union select r.chr, r.id, least(r.a, min(g.start)), greatest(r.b, max(g."end")) from r join v_gene g on g.chr = r.chr and g.start < r.b and g."end" > r.a group by r.chr, r.id, r.a, r.b)
 select chr, id, cast(min(a) as bigint) as a, cast(max(b) as bigint) as b from r group by chr, id""", recursive=True)
-def gene_region_every(s, d):
+def gene_region_fixpoint(s, d):
     """A region at every gene."""
     g = v.gene(s, d)
     return intervals.grow_regions(g.selectExpr("chr", "gene as id", "start as a", "start + 3600 as b"), g.select("chr", "start", "end"), "chr")
@@ -630,10 +591,12 @@ def utr_spans(s, d):
     return u.select("chr", "gene", F.when(F.expr("(chr % 2 = 0) = (side = 'left')"), "five_prime").otherwise("three_prime").alias("kind"), F.col("u_start").alias("start"), F.col("u_end").alias("stop"))
 
 
-@query(", c as (select distinct chr from v_gene where kind = 'purchase' and gene % 7 = 0) select gene, chr from v_gene where chr not in (select chr from c)")
+@query(", t as (select chr, cast(json_extract_string(props, '$.k') as bigint) as k, gene, kind from v_gene), c as (select chr, k from t group by chr, k having count(*) filter (kind = 'purchase') > 0) select t.gene, t.chr, t.k from t left join c on c.chr = t.chr and c.k is not distinct from t.k where c.chr is null")
 def transcripts_without_cds(s, d):
-    g = v.gene(s, d)
-    return g.join(g.where("kind = 'purchase' and gene % 7 = 0").select(F.col("chr").alias("c_chr")).distinct(), F.col("chr") == F.col("c_chr"), "left_anti").select("gene", "chr")
+    """A transcript is a chromosome's features of one attribute; its coding ones are those of one kind."""
+    t = v.gene(s, d).select("gene", "chr", F.get_json_object("props", "$.k").cast("long").alias("k"), "kind")
+    coding = t.where("kind = 'purchase'").select(F.col("chr").alias("c_chr"), F.col("k").alias("c_k")).distinct()
+    return t.join(coding, F.expr("chr = c_chr and k <=> c_k"), "left_anti").select("gene", "chr", "k")
 
 
 @query(', l as (select chr, max(start) as len from v_gene group by chr) select gene, chr, start, least("end", len) as stop from v_gene join l using (chr) where start < len')
@@ -732,8 +695,9 @@ def two_haplotype_solve(s, d):
 @query(""", g as (select obj, part, obj_start as s, obj_end as e from v_agp where ctype = 'N'), h as (select distinct tid, ts, ts + 40 * (te - ts) as te, qs, qs + 39 * (qe - qs) as qe, strand, matches % 2 = 0 as matched from v_hit),
 m as (select obj, part, matched, count(*) as n, min(struct_pack(ts, te, qs, qe, strand)) as h, any_value(s) as s, any_value(e) as e from g join h on tid = obj and ts <= s and te >= e group by all),
 c as (select obj, part, s, e, h, case when matched then 'matched' else 'unmatched' end as kind from (select *, row_number() over (partition by obj, part order by matched desc) as place from m) where place = 1 and n = 1),
-x as (select *, least(case when h.strand = '+' then h.qs + s - h.ts else h.qs + h.te - e end, 200000) as a, greatest(case when h.strand = '+' then h.qe - (h.te - e) else h.qe - (s - h.ts) end, 0) as b from c)
-select obj, part, kind, cast(case when h.qs = h.qe then h.qs when a <= b then a when (a + b) // 2 between h.qs and h.qe then (a + b) // 2 end as bigint) as start, cast(case when h.qs = h.qe then h.qs when a <= b then b when (a + b) // 2 between h.qs and h.qe then (a + b) // 2 end as bigint) as stop from x""")
+x as (select *, least(case when h.strand = '+' then h.qs + s - h.ts else h.qs + h.te - e end, 200000) as a, greatest(case when h.strand = '+' then h.qe - (h.te - e) else h.qe - (s - h.ts) end, 0) as b from c),
+y as (select *, h.qs <> h.qe and a > b as crossed, (h.qs + h.qe) // 2 as middle from x)
+select obj, part, kind, cast(case when h.qs = h.qe then h.qs when not crossed then a when not (a > h.qe or b < h.qs) then middle end as bigint) as start, cast(case when h.qs = h.qe then h.qs when not crossed then b when not (a > h.qe or b < h.qs) then middle end as bigint) as stop from y""")
 def gap_mate_project(s, d):
     """Where gaps lie in the mate: by the only matched range that holds the gap, else the only unmatched one."""
     g = agp(s, d).where("ctype = 'N'").select("obj", "part", F.col("obj_start").alias("s"), F.col("obj_end").alias("e"))
@@ -744,19 +708,10 @@ def gap_mate_project(s, d):
     return c.withColumn("at", at).select("obj", "part", F.when(F.col("matched"), "matched").otherwise("unmatched").alias("kind"), "at.start", "at.stop")
 
 
-@query(f""", c as (select seq_id, i as phase, substr(b, i + 1) as b from (select seq_id, substr(translate(seq, 'DEFHIJKLM ', 'ACGTACGTAT'), 1 + seq_id % 50, 40) as b from v_seq), unnest(range(3)) as t(i)),
-p as (select seq_id, phase, list_transform(range(0, length(b) - 2, 3), lambda i: substr(b, i + 1, 3)) as c from c), ok as (select seq_id, min(phase) as phase from p where c[1] = 'ATG' and len(list_filter(c[:-2], lambda x: x in ('TAA', 'TAG', 'TGA'))) = 0 group by seq_id)
-select v_seq.seq_id, cast(phase as bigint) as phase, phase is null as pseudo from v_seq left join ok using (seq_id)""")
-def cds_frame(s, d):
-    """The first phase whose reading starts with ATG and stops nowhere but at its end; without one, a pseudogene."""
-    b = v.seq(s, d).select("seq_id", F.expr("substring(translate(seq, 'DEFHIJKLM ', 'ACGTACGTAT'), cast(1 + seq_id % 50 as int), 40) as b"))
-    return b.select("seq_id", fn.open_phase(F.col("b")).cast("long").alias("phase")).withColumn("pseudo", F.col("phase").isNull())
-
-
 @query(""", c as (select seq_id, i as phase, substr(b, i + 1) as b from (select seq_id, translate(seq, 'DEFHIJKLM ', 'ACGTACGTAT') as b from v_seq), unnest(range(3)) as t(i)),
 p as (select seq_id, phase, list_transform(range(0, length(b) - 2, 3), lambda i: substr(b, i + 1, 3)) as c from c where starts_with(b, 'ATG')), ok as (select seq_id, min(phase) as phase from p where len(list_filter(c[:-2], lambda x: x in ('TAA', 'TAG', 'TGA'))) = 0 group by seq_id)
 select v_seq.seq_id, cast(phase as bigint) as phase, phase is null as pseudo from v_seq left join ok using (seq_id)""")
-def cds_frame_whole(s, d):
-    """As cds_frame, over the whole of each sequence from its first letter on."""
+def cds_frame(s, d):
+    """The first phase whose reading of the whole sequence starts with ATG and stops nowhere but at its end; without one, a pseudogene."""
     b = v.seq(s, d).select("seq_id", F.expr("translate(seq, 'DEFHIJKLM ', 'ACGTACGTAT') as b"))
     return b.select("seq_id", fn.open_phase(F.col("b")).cast("long").alias("phase")).withColumn("pseudo", F.col("phase").isNull())

@@ -17,11 +17,6 @@ def comp(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("obj"), F.row_number().over(w).cast("long").alias("ord"), F.col("l_partkey").alias("comp"), F.expr("cast(1000 * l_quantity as bigint)").alias("len"), F.expr(STRAND).alias("strand"))
 
 
-def feat(spark: SparkSession, d: str) -> DataFrame:
-    """Features in component space; the id is made of what the row is."""
-    return table(spark, d, "orders").selectExpr("o_orderkey as id", f"o_custkey % 200 + 1 as comp", "(o_orderkey * 37) % 20000 as start", "(o_orderkey * 37) % 20000 + 50 * (o_orderkey % 7 + 1) as end", "case when o_orderkey % 3 = 0 then '-' else '+' end as f_strand")
-
-
 def feature(spark: SparkSession, d: str) -> DataFrame:
     """Features in component space, one for each lineitem row; the id is its number in the order of whole rows.
 
@@ -69,7 +64,6 @@ v_comp as (select l_orderkey as obj, row_number() over (partition by l_orderkey
 v_at as (select *, cast(coalesce(sum(len + 1000) over (partition by obj order by ord rows between unbounded preceding and 1 preceding), 0) as bigint) as start from v_comp),
 v_agp as (select obj, 'W' as ctype, 2 * ord - 1 as part, start as obj_start, start + len as obj_end, comp, 0 as comp_start, len as comp_end, strand from v_at
   union all select obj, 'N', 2 * ord - 2, start - 1000, start, null, null, null, null from v_at where ord > 1),
-v_feat as (select o_orderkey as id, o_custkey % 200 + 1 as comp, (o_orderkey * 37) % 20000 as start, (o_orderkey * 37) % 20000 + 50 * (o_orderkey % 7 + 1) as "end", case when o_orderkey % 3 = 0 then '-' else '+' end as f_strand from orders),
 v_hit as (select tid, qid, ts, ts + n as te, qs, qs + n as qe, matches, strand from (select l_suppkey as tid, l_partkey % 25 as qid, 100 * date_diff('day', date '1992-01-01', cast(l_shipdate as date)) as ts, cast(10 * l_quantity as bigint) as n,
   cast(floor(l_extendedprice) as bigint) as qs, cast(10 * l_quantity - floor(100 * l_discount + 0.5) as bigint) as matches, {STRAND} as strand from lineitem)),
 v_gene as (select chr, start, start + 1 + cast(floor(10 * value) as bigint) as "end", gene, kind, props from (select user_id as chr, cast(floor(epoch_us(ts) / 1000000.0) as bigint) - 1704067200 as start, event_id as gene, event_type as kind, value, props from events)),

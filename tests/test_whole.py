@@ -14,10 +14,10 @@ def test_copies_of_every_gene_over_paired_chromosomes(spark):
     genes = [(r.chr, r.gene, r.kind, int(r.props.split(":")[1].strip(" }"))) for r in v.gene(spark, SF).collect()]
     n = Counter((c, kind, k) for c, _, kind, k in genes)
     want = {(c, g, n[c & ~1, kind, k], n[c | 1, kind, k]) for c, g, kind, k in genes}
-    got = catalogue.copy_number_pairs(spark, SF).collect()
+    got = catalogue.copy_number_join(spark, SF).collect()
     assert len(got) == len(genes) == 1000 and {(r.chr, r.gene, r.h1, r.h2) for r in got} == want
     assert all(r.ratio is None if r.h1 == 0 else abs(r.ratio - r.h2 / r.h1) < 1e-6 for r in got)
-    flags = {(r.chr, r.gene, r.flag) for r in catalogue.imbalance_pairs(spark, SF).collect()}
+    flags = {(r.chr, r.gene, r.flag) for r in catalogue.imbalance_unpivot(spark, SF).collect()}
     assert flags == {(c, g, f) for c, g, a, b in want for f, here in (("more_h1", a > b), ("more_h2", b > a), ("only_h1", a > 0 == b), ("only_h2", b > 0 == a)) if here}
 
 
@@ -36,7 +36,7 @@ def test_a_region_at_every_gene(spark):
                 break
             a, b = lo, hi
         want.add((g.chr, g.gene, a, b))
-    got = catalogue.gene_region_every(spark, SF).collect()
+    got = catalogue.gene_region_fixpoint(spark, SF).collect()
     assert len(got) == 1000 and {tuple(r) for r in got} == want
 
 
@@ -44,7 +44,7 @@ def test_frames_of_whole_sequences(spark, tmp_path):
     open_to_the_end = "ATG" + "GCC" * 400 + "TAA"
     texts = [open_to_the_end, open_to_the_end[:60] + "TAG" + open_to_the_end[60:], "G" + open_to_the_end, "CC" + open_to_the_end[:-3], "GCC" * 20, "", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.seq_id: (r.phase, r.pseudo) for r in catalogue.cds_frame_whole(spark, str(tmp_path)).collect()}
+    got = {r.seq_id: (r.phase, r.pseudo) for r in catalogue.cds_frame(spark, str(tmp_path)).collect()}
     assert got == {0: (0, False), 1: (None, True), 2: (1, False), 3: (2, False), 4: (None, True), 5: (None, True), 6: (None, True)}
 
 
