@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from contigua.session import cut, ship
+
 
 def best_chains(hits: DataFrame, keys: list[str], limit: int, weight: str = "matches") -> DataFrame:
     """Score of the heaviest chain of each group: next hits start 0 to ``limit`` after, on target and query.
@@ -99,3 +102,119 @@ def marker_members(marks: DataFrame, keys: list[str]) -> DataFrame:
 
     run = folded.select(*keys, "xs", F.aggregate("xs", empty, step, lambda a: F.array_min(F.transform(a, lambda y: y["c"]))).alias("c"))
     return run.select(*keys, (-F.col("c.loss")).cast("long").alias("n_markers"), F.transform("c.path", lambda i: F.get(F.col("xs"), i)).alias("members"))
+
+
+def tiling_members(hits: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """The tiling of each group that ``best_tiling`` scores, with its hits (ts, te, forced) in order; nothing where none can be.
+
+    Of equally long tilings the one with fewer hits, then the one whose hits come first.
+    """
+    item = F.struct("ts", "te", F.col("forced").cast("long").alias("f"))
+    folded = hits.where("te > ts").groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("xs"), F.sum(F.col("forced").cast("long")).alias("all"))
+    none = F.expr("named_struct('loss', 0L, 'n', 0, 'path', cast(array() as array<int>))")
+    kind = "struct<loss:bigint,n:int,path:array<int>>"
+    start = F.expr(f"named_struct('seen', 0L, 'at', 0, 'ends', cast(array() as array<struct<te:bigint,k:bigint,c:{kind}>>))")
+
+    def step(a, x):
+        before = F.filter(a["ends"], lambda y: (y["k"] == a["seen"]) & (x["ts"] >= y["te"]) & (x["ts"] - y["te"] <= limit))
+        best = F.array_min(F.concat(F.when(a["seen"] == 0, F.array(none)).otherwise(F.expr(f"cast(array() as array<{kind}>)")), F.transform(before, lambda y: y["c"])))
+        own = F.transform(F.array(best), lambda b: F.struct((b["loss"] - x["te"] + x["ts"]).alias("loss"), (b["n"] + 1).alias("n"), F.concat(b["path"], F.array(a["at"])).alias("path")))[0]
+        end = F.array(F.struct(x["te"].cast("long").alias("te"), (a["seen"] + x["f"]).alias("k"), own.alias("c")))
+        return F.struct((a["seen"] + x["f"]).alias("seen"), (a["at"] + 1).alias("at"), F.when(best.isNull(), a["ends"]).otherwise(F.concat(a["ends"], end)).alias("ends"))
+
+    done = folded.select(*keys, "xs", "all", F.aggregate("xs", start, step, lambda a: a["ends"]).alias("ends"))
+    best = done.select(*keys, "xs", F.array_min(F.transform(F.filter("ends", lambda y: y["k"] == F.col("all")), lambda y: y["c"])).alias("c")).where("c is not null")
+    return best.select(*keys, (-F.col("c.loss")).alias("score"), F.transform("c.path", lambda i: F.get(F.col("xs"), i)).alias("members"))
+
+
+def widened(hits: DataFrame, keys: list[str], start: int, step: int, most: int) -> DataFrame:
+    """``best_tiling`` with the least limit of start, start + step, ... that lets a tiling have all forced hits; ``limit`` tells which.
+
+    Groups that are done leave the next round; beyond ``most`` the rest comes with a null score.
+    """
+    left, limit, out = hits, start, None
+    while True:
+        got = cut(best_tiling(left, keys, limit).withColumn("limit", F.lit(limit).cast("long")), "tilings")
+        good = got.where("score is not null") if limit < most else got
+        out = good if out is None else out.unionByName(good)
+        bad = got.where("score is null").select(*[F.col(k).alias(f"b_{k}") for k in keys])
+        if limit >= most or not bad.head(1):
+            return out
+        same = F.lit(True)
+        for k in keys:
+            same = same & (F.col(k) == F.col(f"b_{k}"))
+        left, limit = hits.join(bad, same, "left_semi"), min(most, limit + step)
+
+
+def edges(df: DataFrame, keys: list[str], order: list[str], node: str) -> DataFrame:
+    """(keys, a, b): neighbours along each path."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.select(*keys, F.col(node).alias("a"), F.lead(node).over(w).alias("b")).where("b is not null")
+
+
+def reachable(graph: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node): what edges (a, b) lead to from the starts (node), these too; a round of joins for each step."""
+    seen = cut(starts.select("node").distinct(), "seen")
+    front = seen
+    while True:
+        n = graph.join(front, F.col("a") == F.col("node")).select(F.col("b").alias("node")).distinct()
+        front = cut(n.join(seen, "node", "left_anti"), "front")
+        if not front.head(1):
+            return seen
+        seen = cut(seen.unionByName(front), "seen")
+
+
+def on_cycles(graph: DataFrame) -> DataFrame:
+    """Edges (a, b) that no order of the nodes can have all forward: what is left after sources and sinks went, again and again.
+
+    No rows for a graph without cycles.
+    """
+    left = cut(graph.select("a", "b").distinct(), "edges")
+    while True:
+        heads, tails = left.select(F.col("b").alias("n")).distinct(), left.select(F.col("a").alias("m")).distinct()
+        inner = cut(left.join(heads, F.col("a") == F.col("n"), "left_semi").join(tails, F.col("b") == F.col("m"), "left_semi"), "edges")
+        if inner.count() == left.count():
+            return inner
+        left = inner
+
+
+def merged_order(path: list, forced: list) -> list:
+    """A path with the forced ids put where their own order has them.
+
+    Between two ids of the path that the forced list has in this order (its begin and end
+    count as such) come the forced ids that lie between; a way round from an id back to
+    itself is left out, by the shortest way from begin to end.
+    """
+    place = {x: i for i, x in enumerate(forced)}
+    begin, end = ("begin",), ("end",)
+    rank = {begin: -1, end: len(forced)} | {(x,): i for x, i in place.items()}
+    ways: dict[tuple, list[tuple]] = {}
+    at = begin
+    for node in [*((x,) for x in path), end]:
+        steps = [(x,) for x in forced[rank[at] + 1 : rank[node]]] + [node] if at in rank and node in rank and rank[at] < rank[node] else [node]
+        for to in steps:
+            ways.setdefault(at, []).append(to)
+            at = to
+    came, todo = {begin: begin}, [begin]
+    for node in todo:
+        for to in ways.get(node, []):
+            if to not in came:
+                came[to] = node
+                todo.append(to)
+    out, node = [], came.get(end, begin)
+    while node != begin:
+        out.append(node[0])
+        node = came[node]
+    return out[::-1]
+
+
+def merge_orders(paths: DataFrame, forced: DataFrame) -> DataFrame:
+    """(chr, ord, id): ``merged_order`` of each chromosome's path (chr, ord, id) and forced ids (chr, ord, id); one chromosome's ids are a task's."""
+    ship(paths.sparkSession)
+
+    def run(key, p: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        out = merged_order(p.sort_values("ord")["id"].tolist(), f.sort_values("ord")["id"].tolist())
+        return pd.DataFrame({"chr": [key[0]] * len(out), "ord": range(1, len(out) + 1), "id": out})
+
+    kind = dict(paths.dtypes)
+    return paths.groupBy("chr").cogroup(forced.groupBy("chr")).applyInPandas(run, f"chr {kind['chr']}, ord long, id {kind['id']}")

@@ -6,6 +6,52 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Width of the bins of interval joins: long against most intervals, short against chromosomes.
+BIN = 1 << 17
+
+
+def overlapping(left: DataFrame, right: DataFrame, on: str, l_span: tuple[str, str], r_span: tuple[str, str], width: int = BIN) -> DataFrame:
+    """Rows of both sides with the same ``on`` (a column of both) whose half-open spans share a base; column names must differ otherwise.
+
+    Both sides are dealt out to bins of ``width`` and meet by (on, bin), a pair in the first
+    bin that both are in, so rows far from each other on one sequence never meet and one
+    sequence is many keys.
+    """
+    ls, le, rs, re = (F.col(c) for c in (*l_span, *r_span))
+    at = lambda c: F.floor(c / width)
+    bins = lambda a, b: F.explode(F.sequence(at(a), at(F.greatest(a, b - 1))))
+    r = right.withColumn("_on", F.col(on)).drop(on).withColumn("_r_bin", bins(rs, re))
+    j = left.withColumn("_bin", bins(ls, le)).join(r, (F.col(on) == F.col("_on")) & (F.col("_bin") == F.col("_r_bin")))
+    return j.where((ls < re) & (le > rs) & (F.col("_bin") == F.greatest(at(ls), at(rs)))).drop("_on", "_bin", "_r_bin")
+
+
+def within(left: DataFrame, right: DataFrame, on: str, l_span: tuple[str, str], r_span: tuple[str, str], width: int = BIN) -> DataFrame:
+    """Rows of both sides with the same ``on`` where the left span (a point too) lies whole in the right one.
+
+    Only the right side is dealt out to bins; a left row meets what its start's bin holds.
+    """
+    ls, le, rs, re = (F.col(c) for c in (*l_span, *r_span))
+    at = lambda c: F.floor(c / width)
+    # A span may begin where the right one ends if it has no extent, so the bin of the end counts.
+    r = right.withColumn("_on", F.col(on)).drop(on).withColumn("_r_bin", F.explode(F.sequence(at(rs), at(F.greatest(rs, re)))))
+    j = left.withColumn("_bin", at(ls)).join(r, (F.col(on) == F.col("_on")) & (F.col("_bin") == F.col("_r_bin")))
+    return j.where((ls >= rs) & (le <= re)).drop("_on", "_bin", "_r_bin")
+
+
+def complement_with_context(ranges: DataFrame, key: str, lengths: DataFrame) -> DataFrame:
+    """What ranges (key, start, end, mate_start, mate_end) leave free of each sequence (key, len), with what they match on both sides.
+
+    (key, free_start, free_end, left_mate, right_mate, open_left, open_right): the mate's
+    end before and its start after; an edge of the sequence has none and is open. Ranges
+    don't overlap.
+    """
+    edges = ranges.select(key, "start", "end", "mate_start", "mate_end", F.lit(0).alias("last")).unionByName(lengths.select(key, F.col("len").alias("start"), F.col("len").alias("end"), F.lit(None).cast("long").alias("mate_start"), F.lit(None).cast("long").alias("mate_end"), F.lit(1).alias("last")))
+    w = Window.partitionBy(key).orderBy("start", "last", "end")
+    before = F.lag("end").over(w)
+    x = edges.select(key, F.coalesce(before, F.lit(0)).alias("free_start"), F.col("start").alias("free_end"), F.lag("mate_end").over(w).alias("left_mate"), F.col("mate_start").alias("right_mate"), before.isNull().alias("open_left"), (F.col("last") == 1).alias("open_right"))
+    return x.where("free_start < free_end")
+
+
 def merge(df: DataFrame, key: str, start: str = "start", end: str = "end") -> DataFrame:
     """Overlapping intervals of a sequence as one each (touching ones stay apart)."""
     w = Window.partitionBy(key).orderBy(start, end)
@@ -66,8 +112,9 @@ def noncrossing(df: DataFrame, key: str, order: list[str], start: str, end: str)
 def grow_regions(regions: DataFrame, features: DataFrame, key: str) -> DataFrame:
     """Regions (key, id, a, b) widened until no feature reaches over an edge: with the islands of features they overlap."""
     islands = merge(features, key).select(F.col(key).alias("i_key"), F.col("start").alias("i_start"), F.col("end").alias("i_end"))
-    met = regions.join(islands, (F.col(key) == F.col("i_key")) & (F.col("i_start") < F.col("b")) & (F.col("i_end") > F.col("a")), "left")
-    return met.groupBy(key, "id", "a", "b").agg(F.min("i_start").alias("lo"), F.max("i_end").alias("hi")).select(key, "id", F.least("a", F.coalesce("lo", "a")).alias("a"), F.greatest("b", F.coalesce("hi", "b")).alias("b"))
+    met = overlapping(regions, islands.withColumnRenamed("i_key", key), key, ("a", "b"), ("i_start", "i_end"))
+    edges = met.groupBy(F.col(key).alias("e_key"), F.col("id").alias("e_id"), F.col("a").alias("e_a"), F.col("b").alias("e_b")).agg(F.min("i_start").alias("lo"), F.max("i_end").alias("hi"))
+    return regions.join(edges, (F.col(key) == F.col("e_key")) & (F.col("id") == F.col("e_id")) & (F.col("a") == F.col("e_a")) & (F.col("b") == F.col("e_b")), "left").select(key, "id", F.least("a", F.coalesce("lo", "a")).alias("a"), F.greatest("b", F.coalesce("hi", "b")).alias("b"))
 
 
 def subtract_span(df: DataFrame, lo: str, hi: str) -> DataFrame:

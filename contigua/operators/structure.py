@@ -40,7 +40,7 @@ def invert_filled(structure: DataFrame, lengths: DataFrame) -> DataFrame:
 def compose(structure: DataFrame, child: DataFrame) -> DataFrame:
     """Structure in terms of what its components are made of: (comp, c_start, c_end, sub, s_start, s_end, s_strand)."""
     lo, hi = F.greatest("comp_start", "c_start"), F.least("comp_end", "c_end")
-    j = structure.where("ctype = 'W'").join(child, "comp").where(lo < hi).withColumns({"lo": lo, "hi": hi})
+    j = intervals.overlapping(structure.where("ctype = 'W'"), child, "comp", ("comp_start", "comp_end"), ("c_start", "c_end")).withColumns({"lo": lo, "hi": hi})
     at = F.when(F.col("strand") == "+", F.col("obj_start") + F.col("lo") - F.col("comp_start")).otherwise(F.col("obj_start") + F.col("comp_end") - F.col("hi"))
     sub = F.when(F.col("s_strand") == "+", F.col("s_start") + F.col("lo") - F.col("c_start")).otherwise(F.col("s_end") - (F.col("hi") - F.col("c_start")))
     n = F.col("hi") - F.col("lo")
@@ -49,7 +49,7 @@ def compose(structure: DataFrame, child: DataFrame) -> DataFrame:
 
 def liftover(features: DataFrame, structure: DataFrame) -> DataFrame:
     """Features (id, comp, start, end, f_strand) that lie whole in a placed stretch, in object coordinates."""
-    j = features.join(structure.where("ctype = 'W'"), "comp").where("start >= comp_start and end <= comp_end")
+    j = intervals.within(features, structure.where("ctype = 'W'"), "comp", ("start", "end"), ("comp_start", "comp_end"))
     plus = F.col("strand") == "+"
     start = F.when(plus, F.col("obj_start") + F.col("start") - F.col("comp_start")).otherwise(F.col("obj_start") + F.col("comp_end") - F.col("end"))
     return j.select("id", "obj", start.alias("start"), (start + F.col("end") - F.col("start")).alias("end"), F.when(plus == (F.col("f_strand") == "+"), "+").otherwise("-").alias("strand"))
@@ -67,3 +67,43 @@ def reused(structure: DataFrame) -> DataFrame:
     before = F.max("comp_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     after = F.lead("comp_start").over(w)
     return structure.where("ctype = 'W'").select("*", before.alias("b"), after.alias("a")).where("b > comp_start or a < comp_end").drop("a", "b")
+
+
+def broken(lengths: DataFrame, breaks: DataFrame, prefix: str) -> DataFrame:
+    """Structure of what is left of sequences (seq_id, len) between the gaps (seq_id, start, end) at which they break.
+
+    A sequence without gaps to break at is one object, ``prefix`` and its id; one with
+    them is several, numbered from 1 in order. Gaps at an end of the sequence don't count.
+    """
+    inner = breaks.join(lengths, "seq_id").where("start > 0 and end < len").select("seq_id", "start", "end").distinct()
+    free = intervals.complement(intervals.merge(inner, "seq_id"), "seq_id", lengths)
+    w = Window.partitionBy("seq_id")
+    n, i = F.count("*").over(w), F.row_number().over(w.orderBy("free_start"))
+    name = F.concat(F.lit(prefix), F.col("seq_id").cast("string"), F.when(n > 1, F.concat(F.lit("_"), i)).otherwise(""))
+    size = F.col("free_end") - F.col("free_start")
+    return free.select(name.alias("obj"), F.lit("W").alias("ctype"), F.lit(1).cast("long").alias("part"), F.lit(0).cast("long").alias("obj_start"), size.alias("obj_end"), F.col("seq_id").alias("comp"), F.col("free_start").alias("comp_start"), F.col("free_end").alias("comp_end"), F.lit("+").alias("strand"))
+
+
+def between_gaps(structure: DataFrame, least: int = 0, excluded: DataFrame | None = None) -> DataFrame:
+    """Runs of components between the gaps at which an object may break: (obj, start, end, up_start, up_end, down_start, down_end).
+
+    A gap is no such place if it is shorter than ``least`` or one of its ends lies in an
+    excluded region (obj, x_start, x_end); a run goes on over it. Before the first run stands (0, 0)
+    or the gap that the object begins with, after the last one its end.
+    """
+    gap = F.col("ctype") != "W"
+    rows = structure.withColumn("jump", gap & (F.col("obj_end") - F.col("obj_start") < least))
+    if excluded is not None:
+        ends = structure.where(gap).select("obj", "part", F.explode(F.array(F.col("obj_start"), F.col("obj_end"))).alias("at"))
+        hit = intervals.within(ends.withColumn("at_2", F.col("at")), excluded, "obj", ("at", "at_2"), ("x_start", "x_end")).select(F.col("obj").alias("h_obj"), F.col("part").alias("h_part")).distinct()
+        rows = rows.join(hit, (F.col("obj") == F.col("h_obj")) & (F.col("part") == F.col("h_part")), "left").withColumn("jump", F.col("jump") | (gap & F.col("h_obj").isNotNull())).drop("h_obj", "h_part")
+    w = Window.partitionBy("obj").orderBy("obj_start", "obj_end")
+    # A gap before all sequence counts whatever its length.
+    first = F.sum(F.when(~gap, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 0
+    breaks = gap & (first | ~F.col("jump"))
+    x = rows.withColumn("breaks", breaks).withColumn("run", F.sum(F.col("breaks").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = x.groupBy("obj", "run").agg(F.min(F.when(~gap, F.col("obj_start"))).alias("start"), F.max(F.when(~gap, F.col("obj_end"))).alias("end"), F.max(F.when(F.col("breaks"), F.struct("obj_start", "obj_end"))).alias("up"))
+    o = Window.partitionBy("obj").orderBy("run")
+    y = spans.withColumn("down", F.lead("up").over(o)).where("start is not null")
+    zero = F.lit(0).cast("long")
+    return y.select("obj", "start", "end", F.coalesce("up.obj_start", zero).alias("up_start"), F.coalesce("up.obj_end", zero).alias("up_end"), F.coalesce("down.obj_start", "end").alias("down_start"), F.coalesce("down.obj_end", "end").alias("down_end"))

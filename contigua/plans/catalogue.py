@@ -549,7 +549,7 @@ def noncrossing_filter(s, d):
 @query(""", k as (select obj, part, greatest(ts, obj_start) as lo, least(te, obj_end) as hi, matches, te - ts as n from v_agp join v_hit on tid = obj where ctype = 'W' and ts < obj_end and te > obj_start)
 select obj, part, count(*) as n_hits, cast(min(lo) as bigint) as start, cast(max(hi) as bigint) as stop, cast(sum(matches * (hi - lo) // n) as bigint) as matches from k group by all""")
 def component_clip_agg(s, d):
-    j = agp(s, d).where("ctype = 'W'").join(v.hit(s, d), F.expr("tid = obj and ts < obj_end and te > obj_start"))
+    j = intervals.overlapping(agp(s, d).where("ctype = 'W'"), v.hit(s, d).drop("strand").withColumnRenamed("tid", "obj"), "obj", ("obj_start", "obj_end"), ("ts", "te"))
     k = j.select("obj", "part", F.greatest("ts", "obj_start").alias("lo"), F.least("te", "obj_end").alias("hi"), "matches", F.expr("te - ts as n"))
     return k.groupBy("obj", "part").agg(F.count("*").alias("n_hits"), F.min("lo").alias("start"), F.max("hi").alias("stop"), F.sum(F.expr("matches * (hi - lo) div n")).alias("matches"))
 
@@ -612,7 +612,7 @@ select p.obj, p.pos, comp, case when strand = '+' then comp_start + pos - obj_st
 def liftover_point(s, d):
     a = agp(s, d)
     p = a.groupBy(F.col("obj").alias("p_obj")).agg(F.expr("max(obj_end) * 37 % max(obj_end) + 7 * any_value(obj) % max(obj_end) as pos"))
-    j = p.join(a.where("ctype = 'W'"), F.expr("obj = p_obj and pos >= obj_start and pos < obj_end"))
+    j = intervals.within(p.withColumnRenamed("p_obj", "obj").withColumn("next", F.expr("pos + 1")), a.where("ctype = 'W'"), "obj", ("pos", "next"), ("obj_start", "obj_end"))
     return j.select("obj", "pos", "comp", F.expr("case when strand = '+' then comp_start + pos - obj_start else comp_end - 1 - (pos - obj_start) end as at"))
 
 
@@ -702,7 +702,7 @@ def gap_mate_project(s, d):
     """Where gaps lie in the mate: by the only matched range that holds the gap, else the only unmatched one."""
     g = agp(s, d).where("ctype = 'N'").select("obj", "part", F.col("obj_start").alias("s"), F.col("obj_end").alias("e"))
     h = v.hit(s, d).selectExpr("tid", "ts", "ts + 40 * (te - ts) as te", "qs", "qs + 39 * (qe - qs) as qe", "strand", "matches % 2 = 0 as matched").distinct()
-    m = g.join(h, F.expr("tid = obj and ts <= s and te >= e")).groupBy("obj", "part", "s", "e", "matched").agg(F.count("*").alias("n"), F.min(F.struct("ts", "te", "qs", "qe", "strand")).alias("h"))
+    m = intervals.within(g, h.withColumnRenamed("tid", "obj"), "obj", ("s", "e"), ("ts", "te")).groupBy("obj", "part", "s", "e", "matched").agg(F.count("*").alias("n"), F.min(F.struct("ts", "te", "qs", "qe", "strand")).alias("h"))
     c = m.groupBy("obj", "part", "s", "e").agg(F.max_by(F.struct("n", "h", "matched"), F.col("matched")).alias("x")).where("x.n = 1").select("obj", "part", "s", "e", "x.matched", "x.h.*")
     at = placing.projected(F.col("s"), F.col("e"), F.col("ts"), F.col("te"), F.col("qs"), F.col("qe"), F.col("strand"), F.lit(200_000))
     return c.withColumn("at", at).select("obj", "part", F.when(F.col("matched"), "matched").otherwise("unmatched").alias("kind"), "at.start", "at.stop")

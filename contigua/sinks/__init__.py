@@ -71,10 +71,10 @@ def table_lines(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(tabbed(*columns).alias("value"))
 
 
-def signal_lines(runs: DataFrame) -> DataFrame:
-    """(chrom, start, value) of runs (chrom, start, end, code); a code that is no number is written as 0."""
+def signal_lines(runs: DataFrame, key: str = "chrom") -> DataFrame:
+    """(key, start, value) of runs (key, start, end, code); a code that is no number is written as 0."""
     code = F.when(F.col("code").rlike("^[0-9]+([.][0-9]+)?$"), F.col("code")).otherwise("0")
-    return runs.select("chrom", "start", tabbed("chrom", "start", "end", code).alias("value"))
+    return runs.select(key, "start", tabbed(key, "start", "end", code).alias("value"))
 
 
 def paf_lines(df: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from contigua.plans import reports  # noqa: F401 (adds to the catalogue)
 from contigua.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
