@@ -95,5 +95,6 @@ def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     row = fresh_name("row", docs.columns)
     held = cut(docs.withColumn(row, F.monotonically_increasing_id()), "exact-rows")
-    gone = _groups(held, F.col(id_col), F.col(text_col), F.col(row)).where("not kept").select(F.col("row").alias(row))
+    # A narrow table of its own: while it is small, Spark sends it to the texts, and they stay where they are.
+    gone = cut(_groups(held, F.col(id_col), F.col(text_col), F.col(row)).where("not kept").select(F.col("row").alias(row)), "exact-gone")
     return held.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
