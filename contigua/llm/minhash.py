@@ -280,8 +280,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = cut(compact(member.join(buckets, "bucket"), size * bands), "buckets")
     star = held.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
     pairs = cut(likely(star, reps, k, similarity), "pairs")
-    in_bucket = held.select(F.col("rep").alias("w_id")).distinct()
-    texts = cut(rows.join(in_bucket, F.col("doc_id") == F.col("w_id"), "left_semi").select(F.col("doc_id").alias("t_id"), "text").join(owner.where("doc_id = rep").select(F.col("rep").alias("o")).distinct(), F.col("t_id") == F.col("o"), "left_semi").dropDuplicates(["t_id"]), "texts")
+    # A narrow table of its own: while it is small, Spark sends it to the texts, and those that no bucket holds stay where they are.
+    wanted = cut(compact(held.select(F.col("rep").alias("w_id")).distinct(), size), "wanted")
+    texts = cut(rows.join(wanted, F.col("doc_id") == F.col("w_id"), "left_semi").select(F.col("doc_id").alias("t_id"), "text").dropDuplicates(["t_id"]), "texts")
     links = cut(verified(pairs, texts, similarity, weighted), "links")
     labels = components(links)
     tested, leaders, most = pairs.withColumnsRenamed({"a": "p_a", "b": "p_b"}), None, 4
