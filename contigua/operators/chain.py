@@ -1,42 +1,52 @@
-"""Chaining of hits and markers: dynamic programmes as folds over sorted arrays of a group."""
+"""Chaining of hits and markers: dynamic programmes over sorted streams of a group's rows."""
 
 from __future__ import annotations
 
+from functools import partial
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from contigua.operators.frontier import HitChain, MarkerRun, Tiling
+from contigua.operators.scan import scan
 from contigua.session import cut, ship
 
 
+LONG = T.LongType()
+
+
+def _named(df: DataFrame, **columns) -> list[T.StructField]:
+    """Fields of the types that columns have in ``df``; a type stands for itself."""
+    return [T.StructField(k, c if isinstance(c, T.DataType) else df.schema[c].dataType) for k, c in columns.items()]
+
+
+def _list(name: str, fields: list[T.StructField]) -> T.StructField:
+    return T.StructField(name, T.ArrayType(T.StructType(fields)))
+
+
+def _hits(hits: DataFrame, weight: str) -> tuple[DataFrame, list]:
+    w = F.col(weight).cast("long")
+    return hits.where((F.col("te") > F.col("ts")) & (F.col("qe") > F.col("qs")) & w.isNotNull()), [F.col("ts"), F.col("qs"), F.col("te"), F.col("qe"), w]
+
+
 def best_chains(hits: DataFrame, keys: list[str], limit: int, weight: str = "matches") -> DataFrame:
     """Score of the heaviest chain of each group: next hits start 0 to ``limit`` after, on target and query.
 
-    Hits (ts, te, qs, qe, weight) without extent on either side don't count.
+    Hits (ts, te, qs, qe, weight) without extent on either side, or with a null, don't count.
     """
-    good = hits.where("te > ts and qe > qs")
-    item = F.struct("ts", "qs", "te", "qe", F.col(weight).cast("long").alias("w"))
-    folded = good.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("xs"))
-    empty = F.expr("cast(array() as array<struct<te:bigint,qe:bigint,score:bigint>>)")
+    good, values = _hits(hits, weight)
+    return scan(good, keys, values, partial(HitChain, limit, False), [T.StructField("score", LONG)])
 
-    def step(a, x):
-        before = F.filter(a, lambda y: (x["ts"] >= y["te"]) & (x["ts"] - y["te"] <= limit) & (x["qs"] >= y["qe"]) & (x["qs"] - y["qe"] <= limit))
-        best = F.coalesce(F.array_max(F.transform(before, lambda y: y["score"])), F.lit(0))
-        return F.concat(a, F.array(F.struct(x["te"].alias("te"), x["qe"].alias("qe"), (best + x["w"]).alias("score"))))
 
-    return folded.select(*keys, F.aggregate("xs", empty, step, lambda a: F.array_max(F.transform(a, lambda y: y["score"]))).alias("score"))
+def _marks(marks: DataFrame) -> DataFrame:
+    return marks.where("pos is not null and start is not null and end is not null")
 
 
 def most_markers(marks: DataFrame, keys: list[str]) -> DataFrame:
-    """Longest run of markers whose map positions rise as their places do, places not overlapping."""
-    folded = marks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "start", "end"))).alias("xs"))
-    empty = F.expr("cast(array() as array<struct<pos:bigint,end:bigint,n:bigint>>)")
-
-    def step(a, x):
-        before = F.filter(a, lambda y: (y["pos"] < x["pos"]) & (x["start"] >= y["end"]))
-        return F.concat(a, F.array(F.struct(x["pos"].alias("pos"), x["end"].alias("end"), (F.coalesce(F.array_max(F.transform(before, lambda y: y["n"])), F.lit(0)) + 1).cast("long").alias("n"))))
-
-    return folded.select(*keys, F.aggregate("xs", empty, step, lambda a: F.array_max(F.transform(a, lambda y: y["n"]))).alias("n_markers"))
+    """Longest run of markers (pos, start, end) whose map positions rise as their places do, places not overlapping; those with a null don't count."""
+    return scan(_marks(marks), keys, [F.col(c) for c in ("pos", "start", "end")], partial(MarkerRun, False), [T.StructField("n_markers", LONG)])
 
 
 def best_per_query(scores: DataFrame, query: str, target: str) -> DataFrame:
@@ -44,64 +54,32 @@ def best_per_query(scores: DataFrame, query: str, target: str) -> DataFrame:
     return scores.groupBy(query).agg(F.max_by(target, F.struct("score", -F.col(target))).alias(target), F.max("score").alias("score"))
 
 
+def _tiles(hits: DataFrame) -> tuple[DataFrame, list]:
+    return hits.where("te > ts"), [F.col("ts"), F.col("te"), F.coalesce(F.col("forced").cast("long"), F.lit(0).cast("long"))]
+
+
 def best_tiling(hits: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """Most covered by hits (ts, te, forced) of each group in a row: the next one starts 0 to ``limit`` after the last one's end.
 
     A tiling has all forced hits; score is null where none can, as when they overlap.
     """
-    item = F.struct("ts", "te", F.col("forced").cast("long").alias("f"))
-    folded = hits.where("te > ts").groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("xs"), F.sum(F.col("forced").cast("long")).alias("all"))
-    start = F.expr("named_struct('seen', 0L, 'ends', cast(array() as array<struct<te:bigint,k:bigint,score:bigint>>))")
-
-    def step(a, x):
-        # A tiling that goes on here has every forced hit so far.
-        before = F.filter(a["ends"], lambda y: (y["k"] == a["seen"]) & (x["ts"] >= y["te"]) & (x["ts"] - y["te"] <= limit))
-        best = F.coalesce(F.array_max(F.transform(before, lambda y: y["score"])), F.when(a["seen"] == 0, F.lit(0)))
-        end = F.array(F.struct(x["te"].alias("te"), (a["seen"] + x["f"]).alias("k"), (best + x["te"] - x["ts"]).alias("score")))
-        return F.struct((a["seen"] + x["f"]).alias("seen"), F.when(best.isNull(), a["ends"]).otherwise(F.concat(a["ends"], end)).alias("ends"))
-
-    end = lambda a: a["ends"]
-    done = folded.select(*keys, "all", F.aggregate("xs", start, step, end).alias("ends"))
-    return done.select(*keys, F.array_max(F.transform(F.filter("ends", lambda y: y["k"] == F.col("all")), lambda y: y["score"])).alias("score"))
+    good, values = _tiles(hits)
+    return scan(good, keys, values, partial(Tiling, limit, False), [T.StructField("score", LONG)])
 
 
 def chain_members(hits: DataFrame, keys: list[str], limit: int, weight: str = "matches") -> DataFrame:
-    """The heaviest chain of each group, as ``best_chains`` scores it: score, region (t_start, t_end, q_start, q_end), n and members in order.
+    """The heaviest chain of each group, as ``best_chains`` scores it: score, n, region (t_start, t_end, q_start, q_end) and members in order.
 
     Of equally heavy chains the one with fewer hits, then the one whose hits (ts, qs, te, qe, weight) come first.
     """
-    item = F.struct("ts", "qs", "te", "qe", F.col(weight).cast("long").alias("w"))
-    folded = hits.where("te > ts and qe > qs").groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("xs"))
-    # Least first: the score is negative, and chains of equal size compare by the places of their hits.
-    none = F.expr("named_struct('loss', 0L, 'n', 0, 'path', cast(array() as array<int>))")
-    empty = F.expr("cast(array() as array<struct<te:bigint,qe:bigint,c:struct<loss:bigint,n:int,path:array<int>>>>)")
-
-    def step(a, x):
-        before = F.filter(a, lambda y: (x["ts"] >= y["te"]) & (x["ts"] - y["te"] <= limit) & (x["qs"] >= y["qe"]) & (x["qs"] - y["qe"] <= limit))
-        best = F.array_min(F.concat(F.array(none), F.transform(before, lambda y: y["c"])))
-        own = F.transform(F.array(best), lambda b: F.struct((b["loss"] - x["w"]).alias("loss"), (b["n"] + 1).alias("n"), F.concat(b["path"], F.array(F.size(a))).alias("path")))[0]
-        return F.concat(a, F.array(F.struct(x["te"].cast("long").alias("te"), x["qe"].cast("long").alias("qe"), own.alias("c"))))
-
-    chain = folded.select(*keys, "xs", F.aggregate("xs", empty, step, lambda a: F.array_min(F.transform(a, lambda y: y["c"]))).alias("c"))
-    members = chain.select(*keys, (-F.col("c.loss")).alias("score"), F.col("c.n").cast("long").alias("n"), F.transform("c.path", lambda i: F.get(F.col("xs"), i)).alias("members"))
-    first, last = F.get("members", F.lit(0)), F.element_at("members", -1)
-    return members.select(*keys, "score", "n", first["ts"].alias("t_start"), last["te"].alias("t_end"), first["qs"].alias("q_start"), last["qe"].alias("q_end"), "members")
+    good, values = _hits(hits, weight)
+    fields = _named(hits, score=LONG, n=LONG, t_start="ts", t_end="te", q_start="qs", q_end="qe")
+    return scan(good, keys, values, partial(HitChain, limit, True), [*fields, _list("members", _named(hits, ts="ts", qs="qs", te="te", qe="qe", w=LONG))])
 
 
 def marker_members(marks: DataFrame, keys: list[str]) -> DataFrame:
     """The longest run of each group, as ``most_markers`` counts it, with its markers (pos, start, end) in order; ties go to what comes first."""
-    folded = marks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "start", "end"))).alias("xs"))
-    none = F.expr("named_struct('loss', 0, 'path', cast(array() as array<int>))")
-    empty = F.expr("cast(array() as array<struct<pos:bigint,end:bigint,c:struct<loss:int,path:array<int>>>>)")
-
-    def step(a, x):
-        before = F.filter(a, lambda y: (y["pos"] < x["pos"]) & (x["start"] >= y["end"]))
-        best = F.array_min(F.concat(F.array(none), F.transform(before, lambda y: y["c"])))
-        own = F.transform(F.array(best), lambda b: F.struct((b["loss"] - 1).alias("loss"), F.concat(b["path"], F.array(F.size(a))).alias("path")))[0]
-        return F.concat(a, F.array(F.struct(x["pos"].cast("long").alias("pos"), x["end"].cast("long").alias("end"), own.alias("c"))))
-
-    run = folded.select(*keys, "xs", F.aggregate("xs", empty, step, lambda a: F.array_min(F.transform(a, lambda y: y["c"]))).alias("c"))
-    return run.select(*keys, (-F.col("c.loss")).cast("long").alias("n_markers"), F.transform("c.path", lambda i: F.get(F.col("xs"), i)).alias("members"))
+    return scan(_marks(marks), keys, [F.col(c) for c in ("pos", "start", "end")], partial(MarkerRun, True), [T.StructField("n_markers", LONG), _list("members", _named(marks, pos="pos", start="start", end="end"))])
 
 
 def tiling_members(hits: DataFrame, keys: list[str], limit: int) -> DataFrame:
@@ -109,22 +87,8 @@ def tiling_members(hits: DataFrame, keys: list[str], limit: int) -> DataFrame:
 
     Of equally long tilings the one with fewer hits, then the one whose hits come first.
     """
-    item = F.struct("ts", "te", F.col("forced").cast("long").alias("f"))
-    folded = hits.where("te > ts").groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("xs"), F.sum(F.col("forced").cast("long")).alias("all"))
-    none = F.expr("named_struct('loss', 0L, 'n', 0, 'path', cast(array() as array<int>))")
-    kind = "struct<loss:bigint,n:int,path:array<int>>"
-    start = F.expr(f"named_struct('seen', 0L, 'at', 0, 'ends', cast(array() as array<struct<te:bigint,k:bigint,c:{kind}>>))")
-
-    def step(a, x):
-        before = F.filter(a["ends"], lambda y: (y["k"] == a["seen"]) & (x["ts"] >= y["te"]) & (x["ts"] - y["te"] <= limit))
-        best = F.array_min(F.concat(F.when(a["seen"] == 0, F.array(none)).otherwise(F.expr(f"cast(array() as array<{kind}>)")), F.transform(before, lambda y: y["c"])))
-        own = F.transform(F.array(best), lambda b: F.struct((b["loss"] - x["te"] + x["ts"]).alias("loss"), (b["n"] + 1).alias("n"), F.concat(b["path"], F.array(a["at"])).alias("path")))[0]
-        end = F.array(F.struct(x["te"].cast("long").alias("te"), (a["seen"] + x["f"]).alias("k"), own.alias("c")))
-        return F.struct((a["seen"] + x["f"]).alias("seen"), (a["at"] + 1).alias("at"), F.when(best.isNull(), a["ends"]).otherwise(F.concat(a["ends"], end)).alias("ends"))
-
-    done = folded.select(*keys, "xs", "all", F.aggregate("xs", start, step, lambda a: a["ends"]).alias("ends"))
-    best = done.select(*keys, "xs", F.array_min(F.transform(F.filter("ends", lambda y: y["k"] == F.col("all")), lambda y: y["c"])).alias("c")).where("c is not null")
-    return best.select(*keys, (-F.col("c.loss")).alias("score"), F.transform("c.path", lambda i: F.get(F.col("xs"), i)).alias("members"))
+    good, values = _tiles(hits)
+    return scan(good, keys, values, partial(Tiling, limit, True), [T.StructField("score", LONG), _list("members", _named(hits, ts="ts", te="te", f=LONG))])
 
 
 def widened(hits: DataFrame, keys: list[str], start: int, step: int, most: int) -> DataFrame:

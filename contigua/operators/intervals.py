@@ -1,10 +1,14 @@
-"""Interval algebra by windows and folds."""
+"""Interval algebra by windows and scans."""
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from contigua.operators.scan import scan
 
 #: Width of the bins of interval joins: long against most intervals, short against chromosomes.
 BIN = 1 << 17
@@ -68,14 +72,23 @@ def complement(merged: DataFrame, key: str, lengths: DataFrame) -> DataFrame:
     return edges.select(key, F.coalesce(F.lag("end").over(w), F.lit(0)).alias("free_start"), F.col("start").alias("free_end")).where("free_start < free_end")
 
 
+class _Greedy:
+    def __init__(self):
+        self.stop = None
+
+    def step(self, start, end):
+        if self.stop is not None and start <= self.stop:
+            return []
+        self.stop = end
+        return [(start, end)]
+
+    def end(self):
+        return []
+
+
 def greedy(df: DataFrame, key: str) -> DataFrame:
-    """Intervals in order of (start, end), each kept if it starts after the last kept one ends (closed ends)."""
-    folded = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("xs"))
-    kept = F.aggregate(
-        "xs", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
-        lambda a, x: F.when((F.size(a) == 0) | (x["start"] > F.element_at(a, -1)["end"]), F.concat(a, F.array(x))).otherwise(a),
-    )
-    return folded.select(key, F.inline(kept))
+    """Intervals in order of (start, end), each kept if it starts after the last kept one ends (closed ends); those with a null don't count."""
+    return scan(df.where("start is not null and end is not null"), [key], [F.col("start"), F.col("end")], _Greedy, [df.schema["start"], df.schema["end"]])
 
 
 def runs(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
@@ -100,13 +113,28 @@ def nearest(points: DataFrame, gaps: DataFrame, key: str) -> DataFrame:
     return both.select(key, "pos", "what", up.alias("up"), down.alias("down")).where("what = 1").drop("what")
 
 
+class _NonCrossing:
+    def __init__(self):
+        self.stop = None
+
+    def step(self, *row):
+        start, end = row[-2:]
+        kept = start is not None and end is not None and (self.stop is None or start > self.stop)
+        if kept:
+            self.stop = end
+        return [(*row, kept)]
+
+    def end(self):
+        return []
+
+
 def noncrossing(df: DataFrame, key: str, order: list[str], start: str, end: str) -> DataFrame:
-    """Rows in order, ``kept`` where the mate starts after the last kept mate ends; ``order`` must be unique within a key."""
-    folded = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(start).alias("__s"), F.col(end).alias("__e")))).alias("xs"))
-    empty = F.struct(F.lit(-(1 << 62)).cast("long").alias("stop"), F.expr("cast(array() as array<boolean>)").alias("kept"))
-    kept = F.aggregate("xs", empty, lambda a, x: F.struct(F.when(x["__s"] > a["stop"], x["__e"]).otherwise(a["stop"]).alias("stop"), F.concat(a["kept"], F.array(x["__s"] > a["stop"])).alias("kept")), lambda a: a["kept"])
-    rows = folded.select(key, F.explode(F.arrays_zip(F.col("xs"), kept.alias("kept"))).alias("z"))
-    return rows.select(key, *[F.col(f"z.xs.{c}").alias(c) for c in order], F.col("z.xs.__s").alias(start), F.col("z.xs.__e").alias(end), F.col("z.kept").alias("kept"))
+    """Rows in order, ``kept`` where the mate starts after the last kept mate ends; ``order`` must be unique within a key.
+
+    A mate with a null end isn't kept.
+    """
+    columns = [*order, start, end]
+    return scan(df, [key], [F.col(c) for c in columns], _NonCrossing, [*[df.schema[c] for c in columns], T.StructField("kept", T.BooleanType())])
 
 
 def grow_regions(regions: DataFrame, features: DataFrame, key: str) -> DataFrame:
@@ -124,20 +152,27 @@ def subtract_span(df: DataFrame, lo: str, hi: str) -> DataFrame:
     return df.withColumn("__u", F.explode(F.array(left, right))).select(*df.columns, "__u.*").where("u_start < u_end")
 
 
+class _Tolerant:
+    def __init__(self, tolerance: int):
+        self.tolerance, self.run, self.now = tolerance, 0, None
+
+    def step(self, at, v):
+        now = self.now
+        if now and v is not None and now[0] is not None and abs(v - now[0]) <= self.tolerance:
+            now[1], now[3] = now[1] + 1, at
+            return []
+        out = self.end()
+        self.run, self.now = self.run + 1, [v, 1, at, at]
+        return out
+
+    def end(self):
+        return [(self.run, *self.now)] if self.now else []
+
+
 def tolerant_runs(df: DataFrame, key: str, order: str, value: str, tolerance: int) -> DataFrame:
     """(key, run, first, n, start, stop): a run goes on while values stay within ``tolerance`` of its first one.
 
-    A fold over one key's values in order; every run counts, the last one too.
+    Every run counts, the last one too; a null is a run of its own.
     """
-    xs = F.sort_array(F.collect_list(F.struct(F.col(order).cast("long").alias("at"), F.col(value).cast("long").alias("v"))))
-    empty = F.expr("cast(array() as array<struct<first:bigint,n:bigint,start:bigint,stop:bigint>>)")
-
-    def step(a, x):
-        last = F.try_element_at(a, F.lit(-1))
-        on = (F.size(a) > 0) & (F.abs(x["v"] - last["first"]) <= tolerance)
-        fresh = F.struct(x["v"].alias("first"), F.lit(1).cast("long").alias("n"), x["at"].alias("start"), x["at"].alias("stop"))
-        longer = F.struct(last["first"].alias("first"), (last["n"] + 1).alias("n"), last["start"].alias("start"), x["at"].alias("stop"))
-        return F.when(on, F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(a, F.array(fresh)))
-
-    folded = df.groupBy(key).agg(F.aggregate(xs, empty, step).alias("runs"))
-    return folded.select(key, F.posexplode("runs").alias("run", "r")).select(key, (F.col("run") + 1).cast("long").alias("run"), "r.first", "r.n", "r.start", "r.stop")
+    fields = [T.StructField(c, T.LongType()) for c in ("run", "first", "n", "start", "stop")]
+    return scan(df, [key], [F.col(order).cast("long"), F.col(value).cast("long")], partial(_Tolerant, tolerance), fields)
