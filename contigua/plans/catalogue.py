@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from contigua import functions as fn
-from contigua.operators import chain, intervals, matching, placing, signals, stats, structure
+from contigua.operators import chain, intervals, matching, placing, ranks, signals, stats, structure
 from contigua.plans import views as v
 from contigua.session import table
 
@@ -50,9 +50,8 @@ def agp_to_block(s, d):
 
 @query("select 'new_' || dense_rank() over (order by obj) as name, obj, part from v_agp")
 def agp_rename(s, d):
-    # Numbers come from the table of distinct objects, so rows are never ranked in one task.
     rows = agp(s, d).select("obj", "part")
-    names = rows.select("obj").distinct().select("obj", F.concat(F.lit("new_"), F.row_number().over(Window.orderBy("obj"))).alias("name"))
+    names = ranks.before(rows.select("obj").distinct(), ["obj"]).select("obj", F.concat(F.lit("new_"), F.col("before") + 1).alias("name"))
     return rows.join(names, "obj").select("name", "obj", "part")
 
 
@@ -387,8 +386,7 @@ def paf_pairs(s, d):
 
 @query(", l as (select tid, max(te) as len from v_hit group by 1) select tid, len, cast(coalesce(sum(len) over (order by len desc, tid rows between unbounded preceding and 1 preceding), 0) as bigint) as at from l")
 def genome_offsets(s, d):
-    w = Window.orderBy(F.desc("len"), "tid").rowsBetween(Window.unboundedPreceding, -1)  # one row for each sequence
-    return v.hit(s, d).groupBy("tid").agg(F.max("te").alias("len")).select("tid", "len", F.coalesce(F.sum("len").over(w), F.lit(0)).alias("at"))
+    return ranks.before(v.hit(s, d).groupBy("tid").agg(F.max("te").alias("len")), [F.desc("len"), F.col("tid")], "len", "at")
 
 
 # Copy number and signals

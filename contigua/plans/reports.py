@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contigua import functions as fn
 from contigua import sinks, sources
-from contigua.operators import chain, curation, fill, intervals, placing, qc, sequences, structure
+from contigua.operators import chain, curation, fill, intervals, placing, qc, ranks, sequences, structure
 from contigua.plans import catalogue as c
 from contigua.plans import views as v
 from contigua.plans.catalogue import agp, query
@@ -102,9 +102,8 @@ def dotplot_points(s, d):
     h = v.hit(s, d)
 
     def offsets(key, end):
-        # One row for each sequence.
-        w = Window.orderBy(F.desc("len"), key).rowsBetween(Window.unboundedPreceding, -1)
-        return h.groupBy(key).agg(F.max(end).alias("len")).select(F.col(key).alias(f"o_{key}"), F.coalesce(F.sum("len").over(w), F.lit(0)).alias(f"at_{key}"))
+        lengths = h.groupBy(F.col(key).alias(f"o_{key}")).agg(F.max(end).alias("len"))
+        return ranks.before(lengths, [F.desc("len"), F.col(f"o_{key}")], "len", f"at_{key}").drop("len")
 
     x = h.where("matches > 200 and 100 * matches > 95 * (te - ts)").join(offsets("tid", "te"), F.col("tid") == F.col("o_tid")).join(offsets("qid", "qe"), F.col("qid") == F.col("o_qid"))
     return x.selectExpr("tid", "qid", "ts + at_tid as x1", "te + at_tid as x2", "qs + at_qid as y1", "qe + at_qid as y2")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contigua.functions import ascii_upper
-from contigua.session import cut, table
+from contigua.operators import ranks
+from contigua.session import table
 
 ROW = "l_partkey l_suppkey l_shipdate l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus".split()
 STRAND = "case when l_linestatus = 'F' then '+' else '-' end"
@@ -18,19 +19,10 @@ def comp(spark: SparkSession, d: str) -> DataFrame:
 
 
 def feature(spark: SparkSession, d: str) -> DataFrame:
-    """Features in component space, one for each lineitem row; the id is its number in the order of whole rows.
-
-    Numbers come from a range-partitioned table and the counts of its partitions, so rows are never ranked in one task.
-    """
+    """Features in component space, one for each lineitem row; the id is its number in the order of whole rows."""
     order = ["l_orderkey", "l_linenumber", *ROW]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = cut(table(spark, d, "lineitem").select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("l_orderkey", "l_linenumber", "l_partkey", F.monotonically_increasing_id().alias("at")), "features")
-    part = F.shiftrightunsigned("at", 33)
-    # One row for each partition.
-    sums = rows.groupBy(part.alias("p")).agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    before = sums.select("p", "first", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    x = rows.join(F.broadcast(before), part == F.col("p"))
-    return x.selectExpr("before + at - first + 1 as id", "l_partkey as comp", "(l_orderkey * 37) % 20000 as start", "(l_orderkey * 37) % 20000 + 50 * l_linenumber as end", "case when l_orderkey % 3 = 0 then '-' else '+' end as f_strand")
+    x = ranks.before(table(spark, d, "lineitem").select(*order), order)
+    return x.selectExpr("before + 1 as id", "l_partkey as comp", "(l_orderkey * 37) % 20000 as start", "(l_orderkey * 37) % 20000 + 50 * l_linenumber as end", "case when l_orderkey % 3 = 0 then '-' else '+' end as f_strand")
 
 
 def hit(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from contigua.operators import chain, frontier, intervals
+from contigua.operators import chain, frontier, intervals, ranks
 from contigua.operators.scan import Chain, first
 
 
@@ -110,3 +110,13 @@ def test_scans_of_intervals_with_nulls(spark):
     assert [r.kept for r in crossed.where("k = 'a'").orderBy("i").collect()] == [True, False, True, False, False]
     runs = intervals.tolerant_runs(rows, "_v0", "end", "start", 1).where("_v0 = 'a'").orderBy("run").collect()
     assert [(r.run, r.first, r.n) for r in runs] == [(1, 8, 1), (2, 0, 1), (3, 4, 2), (4, None, 1)]
+
+
+def test_running_sums_over_partitions(spark):
+    df = spark.range(1000).selectExpr("id * 7919 % 1000 as x", "if(id % 5 = 0, null, id % 13) as w", "'u' as held").repartition(5)
+    got = {r.x: (r.w, r.n, r.total) for r in ranks.before(ranks.before(df, [F.desc("x")], name="n"), [F.desc("x")], "w", "total").collect()}
+    total = 0
+    for n, x in enumerate(range(999, -1, -1)):
+        assert got[x][1:] == (n, total)
+        total += got[x][0] or 0
+    assert ranks.before(df.limit(0), ["x"]).collect() == []
