@@ -107,3 +107,23 @@ def between_gaps(structure: DataFrame, least: int = 0, excluded: DataFrame | Non
     y = spans.withColumn("down", F.lead("up").over(o)).where("start is not null")
     zero = F.lit(0).cast("long")
     return y.select("obj", "start", "end", F.coalesce("up.obj_start", zero).alias("up_start"), F.coalesce("up.obj_end", zero).alias("up_end"), F.coalesce("down.obj_start", "end").alias("down_start"), F.coalesce("down.obj_end", "end").alias("down_end"))
+
+
+def targets(regions: DataFrame, gap: int = 10_000, substitute: int = 10) -> DataFrame:
+    """Structures to map fillers on: the regions (obj, place, comp, start, end, there) of each object in the order of ``place``, a gap between neighbours.
+
+    (obj, part, region, ctype, obj_start, obj_end, comp, comp_start, comp_end, strand): of
+    three regions the first is UP, the next SEQ, the last DOWN, and what lies between GAP. A
+    region that isn't there (its sequence is missing) is ``substitute`` unknown bases, of
+    type S, with the coordinates it stands for.
+    """
+    w = Window.partitionBy("obj").orderBy("place", "comp", "start", "end")
+    size = F.when(F.col("there"), F.col("end") - F.col("start")).otherwise(F.lit(substitute)).cast("long")
+    x = regions.withColumns({"n": size, "i": F.row_number().over(w)})
+    x = x.withColumn("a", F.coalesce(F.sum(F.col("n") + gap).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    null = F.lit(None).cast("long")
+    names = F.array(*[F.lit(r) for r in ("UP", "SEQ", "DOWN")])
+    kind = lambda **c: F.struct(*[v.alias(k) for k, v in c.items()])
+    piece = kind(part=2 * F.col("i") - 1, region=F.get(names, F.col("i") - 1), ctype=F.when(F.col("there"), "W").otherwise("S"), obj_start=F.col("a"), obj_end=F.col("a") + F.col("n"), comp=F.col("comp"), comp_start=F.col("start"), comp_end=F.col("end"), strand=F.lit("+"))
+    hole = kind(part=2 * F.col("i") - 2, region=F.lit("GAP"), ctype=F.lit("N"), obj_start=F.col("a") - gap, obj_end=F.col("a"), comp=F.lit(None).cast(regions.schema["comp"].dataType), comp_start=null, comp_end=null, strand=F.lit(None).cast("string"))
+    return x.select("obj", F.explode(F.when(F.col("i") > 1, F.array(hole, piece)).otherwise(F.array(piece))).alias("x")).select("obj", "x.*")

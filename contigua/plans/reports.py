@@ -30,6 +30,18 @@ def agp_fasta(s, d):
     return out.select("obj", "chunk", F.length("bases").alias("len"), F.sha2("bases", 256).alias("digest"))
 
 
+@query(""", k as (select *, lag(comp) over w as c1, lag(comp_end) over w as e1 from (select * from v_agp where ctype = 'W') window w as (partition by obj order by part)), g as (select obj || ':' || (part - 1) as obj, obj as own, obj_start - 1000 as s, obj_start as e, c1, e1, comp as c2, comp_end as e2, c1 % 3 = 0 as there, case when c1 % 3 = 0 then 1000 else 10 end as n from k where c1 is not null)
+select obj, 1 as part, 'UP' as region, 'W' as ctype, 0 as obj_start, e1 as obj_end, c1 as comp, 0 as comp_start, e1 as comp_end, '+' as strand from g union all select obj, 2, 'GAP', 'N', e1, e1 + 10000, null, null, null, null from g
+union all select obj, 3, 'SEQ', case when there then 'W' else 'S' end, e1 + 10000, e1 + 10000 + n, own, s, e, '+' from g union all select obj, 4, 'GAP', 'N', e1 + 10000 + n, e1 + 20000 + n, null, null, null, null from g union all select obj, 5, 'DOWN', 'W', e1 + 20000 + n, e1 + 20000 + n + e2, c2, 0, e2, '+' from g""")
+def gap_targets(s, d):
+    """What lies around each gap as a small structure; the stretch of the object itself, where there, stands between."""
+    w = Window.partitionBy("obj").orderBy("part")
+    a = agp(s, d).where("ctype = 'W'").select("obj", "part", "obj_start", "comp", "comp_end", F.lag("comp").over(w).alias("c1"), F.lag("comp_end").over(w).alias("e1")).where("c1 is not null")
+    region = lambda place, comp, start, end, there: F.expr(f"named_struct('place', {place}, 'comp', {comp}, 'start', cast({start} as bigint), 'end', {end}, 'there', {there})")
+    three = F.array(region(1, "c1", 0, "e1", "true"), region(2, "obj", "obj_start - 1000", "obj_start", "c1 % 3 = 0"), region(3, "comp", 0, "comp_end", "true"))
+    return structure.targets(a.select(F.expr("concat(obj, ':', part - 1)").alias("obj"), F.explode(three).alias("r")).select("obj", "r.*"))
+
+
 TURNS = """, n as (select obj, obj_start as s, obj_end as e from v_agp where ctype = 'N'), minus as (select obj, obj_start from v_agp where ctype = 'W' and strand = '-'), l as (select obj, max(obj_end) as len from v_agp group by obj),
 b as (select n.* from n join minus m on m.obj = n.obj and m.obj_start = n.e) """
 

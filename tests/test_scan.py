@@ -6,7 +6,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from contigua.operators import chain, frontier, intervals, ranks
+from contigua.operators import chain, frontier, intervals, ranks, structure
 from contigua.operators.scan import Chain, first
 
 
@@ -120,3 +120,14 @@ def test_running_sums_over_partitions(spark):
         assert got[x][1:] == (n, total)
         total += got[x][0] or 0
     assert ranks.before(df.limit(0), ["x"]).collect() == []
+
+
+def test_targets_stand_in_for_what_is_missing(spark):
+    rows = spark.createDataFrame([("g", 1, "u", 5, 25, True), ("g", 2, "m", 0, 500, False), ("g", 3, "d", 7, 8, True), ("h", 1, "u", 0, 3, None)], "obj string, place int, comp string, start long, end long, there boolean")
+    got = [tuple(r)[1:] for r in structure.targets(rows, 100).where("obj = 'g'").orderBy("part").collect()]
+    assert got == [
+        (1, "UP", "W", 0, 20, "u", 5, 25, "+"), (2, "GAP", "N", 20, 120, None, None, None, None), (3, "SEQ", "S", 120, 130, "m", 0, 500, "+"),
+        (4, "GAP", "N", 130, 230, None, None, None, None), (5, "DOWN", "W", 230, 231, "d", 7, 8, "+"),
+    ]
+    assert [tuple(r)[2:6] for r in structure.targets(rows, 100).where("obj = 'h'").collect()] == [("UP", "S", 0, 10)]
+    assert structure.targets(rows.limit(0)).count() == 0
