@@ -13,6 +13,9 @@ from contigua.operators.scan import scan
 #: Width of the bins of interval joins: long against most intervals, short against chromosomes.
 BIN = 1 << 17
 
+#: So many times the shuffle partitions take joins whose rows are sorted where they arise, since they are many more than those that move.
+FINER = 8
+
 
 def overlapping(left: DataFrame, right: DataFrame, on: str, l_span: tuple[str, str], r_span: tuple[str, str], width: int = BIN) -> DataFrame:
     """Rows of both sides with the same ``on`` (a column of both) whose half-open spans share a base; column names must differ otherwise.
@@ -29,17 +32,25 @@ def overlapping(left: DataFrame, right: DataFrame, on: str, l_span: tuple[str, s
     return j.where((ls < re) & (le > rs) & (F.col("_bin") == F.greatest(at(ls), at(rs)))).drop("_on", "_bin", "_r_bin")
 
 
-def within(left: DataFrame, right: DataFrame, on: str, l_span: tuple[str, str], r_span: tuple[str, str], width: int = BIN) -> DataFrame:
+def within(left: DataFrame, right: DataFrame, on: str, l_span: tuple[str, str], r_span: tuple[str, str], width: int = BIN, dealt: bool = False) -> DataFrame:
     """Rows of both sides with the same ``on`` where the left span (a point too) lies whole in the right one.
 
     Only the right side is dealt out to bins; a left row meets what its start's bin holds.
+    If ``dealt``, the rows stay dealt out by (on, _bin), to more tasks than else, and ``_bin``
+    is one of their columns: a window by these and a left row's own key moves nothing.
     """
     ls, le, rs, re = (F.col(c) for c in (*l_span, *r_span))
     at = lambda c: F.floor(c / width)
     # A span may begin where the right one ends if it has no extent, so the bin of the end counts.
     r = right.withColumn("_on", F.col(on)).drop(on).withColumn("_r_bin", F.explode(F.sequence(at(rs), at(F.greatest(rs, re)))))
-    j = left.withColumn("_bin", at(ls)).join(r, (F.col(on) == F.col("_on")) & (F.col("_bin") == F.col("_r_bin")))
-    return j.where((ls >= rs) & (le <= re)).drop("_on", "_bin", "_r_bin")
+    x = left.withColumn("_bin", at(ls))
+    if dealt:
+        n = FINER * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # Nulls meet nothing, and dealt out by key they would all be one task's.
+        x = x.where(ls.isNotNull() & le.isNotNull() & F.col(on).isNotNull()).repartition(n, on, "_bin").hint("merge")
+        r = r.where("_on is not null").repartition(n, "_on", "_r_bin")
+    j = x.join(r, (F.col(on) == F.col("_on")) & (F.col("_bin") == F.col("_r_bin")))
+    return j.where((ls >= rs) & (le <= re)).drop("_on", "_r_bin", *([] if dealt else ["_bin"]))
 
 
 def complement_with_context(ranges: DataFrame, key: str, lengths: DataFrame) -> DataFrame:

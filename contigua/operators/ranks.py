@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from contigua.session import cut, fresh_name
 
 
-def before(df: DataFrame, order: list[str | Column], weight: str | None = None, name: str = "before") -> DataFrame:
-    """``df`` with the sum of ``weight`` (the number, without one) of all rows before each in a global order; nulls weigh nothing.
+def before(df: DataFrame, order: list[str | Column], weight: str | None = None, name: str = "before", keep: list[str] | None = None) -> DataFrame:
+    """``df`` (its columns ``keep``, if given) with the sum of ``weight`` (the number, without one) of all rows before each in a global order; nulls weigh nothing.
 
     Rows are dealt out by ranges of the order and stored, then each partition adds what
     the ones before it hold: a row for each partition is all that one task and a broadcast
@@ -17,7 +17,9 @@ def before(df: DataFrame, order: list[str | Column], weight: str | None = None,
     """
     at, part, first, held = (fresh_name(x, [*df.columns, name]) for x in ("at", "part", "first", "held"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "ordered")
+    kept = df.columns if keep is None else keep
+    stored = kept if weight is None or weight in kept else [*kept, weight]
+    rows = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*stored, F.monotonically_increasing_id().alias(at)), "ordered", tidy=True)
     rows = rows.withColumn(part, F.shiftrightunsigned(at, 33))
     size = F.count("*") if weight is None else F.coalesce(F.sum(weight), F.lit(0))
     sums = rows.groupBy(F.col(part).alias(f"{part}_")).agg(F.min(at).alias(first), size.alias(held))
@@ -28,4 +30,4 @@ def before(df: DataFrame, order: list[str | Column], weight: str | None = None,
     else:
         own = F.coalesce(F.sum(weight).over(Window.partitionBy(part).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     x = rows.join(F.broadcast(sums), F.col(part) == F.col(f"{part}_"))
-    return x.select(*df.columns, (F.col(held) + own).alias(name))
+    return x.select(*kept, (F.col(held) + own).alias(name))

@@ -49,10 +49,24 @@ def compose(structure: DataFrame, child: DataFrame) -> DataFrame:
 
 def liftover(features: DataFrame, structure: DataFrame) -> DataFrame:
     """Features (id, comp, start, end, f_strand) that lie whole in a placed stretch, in object coordinates."""
-    j = intervals.within(features, structure.where("ctype = 'W'"), "comp", ("start", "end"), ("comp_start", "comp_end"))
+    return _lifted(intervals.within(features, structure.where("ctype = 'W'"), "comp", ("start", "end"), ("comp_start", "comp_end")))
+
+
+def _lifted(met: DataFrame, *kept: str) -> DataFrame:
     plus = F.col("strand") == "+"
     start = F.when(plus, F.col("obj_start") + F.col("start") - F.col("comp_start")).otherwise(F.col("obj_start") + F.col("comp_end") - F.col("end"))
-    return j.select("id", "obj", start.alias("start"), (start + F.col("end") - F.col("start")).alias("end"), F.when(plus == (F.col("f_strand") == "+"), "+").otherwise("-").alias("strand"))
+    return met.select("id", "obj", start.alias("start"), (start + F.col("end") - F.col("start")).alias("end"), F.when(plus == (F.col("f_strand") == "+"), "+").otherwise("-").alias("strand"), *kept)
+
+
+def liftover_numbered(features: DataFrame, structure: DataFrame) -> DataFrame:
+    """As ``liftover``, with the number ``n`` of each place of a feature in the order of (obj, start, strand), from 1; ids must be unique.
+
+    A feature's places arise in one task and are numbered there: they may be many times
+    the features, so only features and stretches move.
+    """
+    met = intervals.within(features, structure.where("ctype = 'W'"), "comp", ("start", "end"), ("comp_start", "comp_end"), dealt=True)
+    w = Window.partitionBy("comp", "_bin", "id").orderBy("obj", "start", "strand")
+    return _lifted(met, "comp", "_bin").withColumn("n", F.row_number().over(w)).drop("comp", "_bin")
 
 
 def dropped(features: DataFrame, structure: DataFrame) -> DataFrame:

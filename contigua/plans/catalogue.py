@@ -106,8 +106,7 @@ def liftover_dropped(s, d):
 
 @query(LIFT + "select id, obj, a as start, id || '.' || row_number() over (partition by id order by obj, a, strand) as name from lift")
 def liftover_multi_suffix(s, d):
-    w = Window.partitionBy("id").orderBy("obj", "start", "strand")
-    return structure.liftover(v.feature(s, d), agp(s, d)).select("id", "obj", "start", F.concat("id", F.lit("."), F.row_number().over(w)).alias("name"))
+    return structure.liftover_numbered(v.feature(s, d), agp(s, d)).select("id", "obj", "start", F.concat("id", F.lit("."), "n").alias("name"))
 
 
 @query(LIFT + "select obj, count(*) as n_features, cast(min(a) as bigint) as first_start, cast(max(a + n) as bigint) as last_stop from lift group by obj")

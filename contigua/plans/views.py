@@ -15,13 +15,15 @@ STRAND = "case when l_linestatus = 'F' then '+' else '-' end"
 
 def comp(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", *ROW)
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("obj"), F.row_number().over(w).cast("long").alias("ord"), F.col("l_partkey").alias("comp"), F.expr("cast(1000 * l_quantity as bigint)").alias("len"), F.expr(STRAND).alias("strand"))
+    # The number comes first, then the names: else the rows of an object would move again.
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *ROW).withColumn("ord", F.row_number().over(w).cast("long"))
+    return x.select(F.col("l_orderkey").alias("obj"), "ord", F.col("l_partkey").alias("comp"), F.expr("cast(1000 * l_quantity as bigint)").alias("len"), F.expr(STRAND).alias("strand"))
 
 
 def feature(spark: SparkSession, d: str) -> DataFrame:
     """Features in component space, one for each lineitem row; the id is its number in the order of whole rows."""
     order = ["l_orderkey", "l_linenumber", *ROW]
-    x = ranks.before(table(spark, d, "lineitem").select(*order), order)
+    x = ranks.before(table(spark, d, "lineitem").select(*order), order, keep=["l_orderkey", "l_linenumber", "l_partkey"])
     return x.selectExpr("before + 1 as id", "l_partkey as comp", "(l_orderkey * 37) % 20000 as start", "(l_orderkey * 37) % 20000 + 50 * l_linenumber as end", "case when l_orderkey % 3 = 0 then '-' else '+' end as f_strand")
 
 

@@ -10,6 +10,10 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark deletes the shuffle files of a query at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,11 +43,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends here."""
+def cut(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends here.
+
+    If ``tidy``, what the writing shuffled is deleted at its end, not when the driver next collects its garbage.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    if tidy:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
