@@ -17,10 +17,12 @@ def exons_from(parts: DataFrame) -> DataFrame:
 
 def trimmed(exons: DataFrame, bases: str = "bases") -> DataFrame:
     """Exons with their bases, cut back where they begin or end in N; such that are all N go."""
-    left = F.length(bases) - F.length(F.regexp_replace(bases, "^N+", ""))
-    right = F.length(bases) - F.length(F.regexp_replace(bases, "N+$", ""))
+    # Not by patterns: their $ also stands before a line end that closes the bases.
+    n = F.lit("N")
+    left = F.length(bases) - F.length(F.ltrim(bases, n))
+    right = F.length(bases) - F.length(F.rtrim(bases, n))
     x = exons.withColumns({"_l": left, "_r": right}).where(F.col("_l") < F.length(bases))
-    return x.withColumns({"start": F.col("start") + F.col("_l"), "end": F.col("end") - F.col("_r"), bases: F.regexp_replace(bases, "^N+|N+$", "")}).drop("_l", "_r")
+    return x.withColumns({"start": F.col("start") + F.col("_l"), "end": F.col("end") - F.col("_r"), bases: F.trim(bases, n)}).drop("_l", "_r")
 
 
 def exon_names(exons: DataFrame) -> DataFrame:
