@@ -36,7 +36,9 @@ def hit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gene(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "events").selectExpr("user_id as chr", "timestampdiff(SECOND, timestamp_ntz'2024-01-01 00:00:00', cast(ts as timestamp_ntz)) as start", "event_id as gene", "event_type as kind", "value", "props")
+    # Whole seconds downwards; a difference in seconds is cut towards zero, so one too late before the origin.
+    x = table(spark, d, "events").withColumn("us", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', cast(ts as timestamp_ntz))"))
+    x = x.selectExpr("user_id as chr", "(us - pmod(us, 1000000)) div 1000000 as start", "event_id as gene", "event_type as kind", "value", "props")
     return x.selectExpr("chr", "start", "start + 1 + cast(floor(10 * value) as bigint) as end", "gene", "kind", "props")
 
 
