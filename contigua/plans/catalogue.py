@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from contigua import functions as fn
 from contigua.operators import chain, intervals, matching, placing, ranks, signals, stats, structure
 from contigua.plans import views as v
-from contigua.session import table
+from contigua.session import cut, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -106,7 +106,10 @@ def liftover_dropped(s, d):
 
 @query(LIFT + "select id, obj, a as start, id || '.' || row_number() over (partition by id order by obj, a, strand) as name from lift")
 def liftover_multi_suffix(s, d):
-    return structure.liftover_numbered(v.feature(s, d), agp(s, d)).select("id", "obj", "start", F.concat("id", F.lit("."), "n").alias("name"))
+    features = v.feature(s, d)
+    # Stored, so that what the structure shuffles is gone before features and stretches move.
+    placed = cut(agp(s, d).where("ctype = 'W'").drop("part", "obj_end"), "placed", tidy=True)
+    return structure.liftover_numbered(features, placed).select("id", "obj", "start", F.concat("id", F.lit("."), "n").alias("name"))
 
 
 @query(LIFT + "select obj, count(*) as n_features, cast(min(a) as bigint) as first_start, cast(max(a + n) as bigint) as last_stop from lift group by obj")
